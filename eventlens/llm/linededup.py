@@ -86,7 +86,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _bitmap(positions: pd.Series) -> pd.Series:
     def pack(p):
-        bits = np.ones(int(max(p)) + 1, np.uint8)
+        bits = np.ones(-(-(int(max(p)) + 1) // 8) * 8, np.uint8)
         bits[np.asarray(p)] = 0
         return zlib.compress(np.packbits(bits).tobytes(), 1)
 
