@@ -1,9 +1,13 @@
 """The operators' queries: opN_<name>(spark, sf_dir), and SQL for those that SQL can express."""
 
 from .linededup import OP9_SQL, op9_line_dedup
+from .packing import op2_best_fit_packing
 from .sharding import op7_sharding
+from .tokens import op6_token_binary
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_token_binary": op6_token_binary,
     "op7_sharding": op7_sharding,
     "op9_line_dedup": op9_line_dedup,
 }
