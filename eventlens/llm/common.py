@@ -107,3 +107,33 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+class WordHash(dict):
+    """Word (bytes) -> 64-bit hash, remembered; emptied by clear() when it has grown."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def groups_of(batches, n_keys: int):
+    """Streams record batches sorted by their first n_keys columns as one list of columns a group; holds one group."""
+    carry = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if carry is not None:
+            cols = [np.concatenate(x) for x in zip(carry, cols)]
+        change = np.zeros(len(cols[0]) - 1, bool)
+        for c in cols[:n_keys]:
+            change |= c[1:] != c[:-1]
+        starts = np.r_[0, np.flatnonzero(change) + 1]
+        for i, j in zip(starts[:-1], starts[1:]):
+            yield [c[i:j] for c in cols]
+        carry = [c[starts[-1] :] for c in cols]
+    if carry is not None:
+        yield carry

@@ -1,14 +1,16 @@
 """The operators' queries: opN_<name>(spark, sf_dir), and SQL for those that SQL can express."""
 
 from .linededup import OP9_SQL, op9_line_dedup
+from .neardup import OP1_SQL, op1_minhash_neardup
 from .packing import op2_best_fit_packing
 from .sharding import op7_sharding
 from .tokens import op6_token_binary
 
 QUERIES = {
+    "op1_minhash_neardup": op1_minhash_neardup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_token_binary": op6_token_binary,
     "op7_sharding": op7_sharding,
     "op9_line_dedup": op9_line_dedup,
 }
-ORACLE_SQL = {"op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_minhash_neardup": OP1_SQL, "op9_line_dedup": OP9_SQL}
