@@ -5,8 +5,10 @@ from .neardup import OP1_SQL, op1_minhash_neardup
 from .packing import op2_best_fit_packing
 from .sharding import op7_sharding
 from .tokens import op6_token_binary
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_token_binary": op6_token_binary,
