@@ -1,5 +1,6 @@
 """The operators' queries: opN_<name>(spark, sf_dir), and SQL for those that SQL can express."""
 
+from .embeddup import OP10_SQL, op10_embedding_neardup
 from .linededup import OP9_SQL, op9_line_dedup
 from .neardup import OP1_SQL, op1_minhash_neardup
 from .packing import op2_best_fit_packing
@@ -10,6 +11,7 @@ from .tokens import op6_token_binary
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op10_embedding_neardup": op10_embedding_neardup,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op3_toxicity": op3_toxicity,
@@ -19,4 +21,4 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op9_line_dedup": op9_line_dedup,
 }
-ORACLE_SQL = {"op1_minhash_neardup": OP1_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op10_embedding_neardup": OP10_SQL, "op1_minhash_neardup": OP1_SQL, "op9_line_dedup": OP9_SQL}
