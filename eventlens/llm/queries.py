@@ -5,12 +5,14 @@ from .linededup import OP9_SQL, op9_line_dedup
 from .neardup import OP1_SQL, op1_minhash_neardup
 from .packing import op2_best_fit_packing
 from .quality import op4_quality_rules
+from .sampling import op8_sentencepiece_sampling
 from .secrets import op5_secret_scan
 from .sharding import op7_sharding
 from .tokens import op6_token_binary
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op10_embedding_neardup": op10_embedding_neardup,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
