@@ -7,6 +7,7 @@ range of documents is read by the pages that hold it.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -27,54 +28,84 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: A chunk's sentence signs after a letter or digit.
+_TAIL = re.compile(rb"(?<=[0-9a-z])[.,;:!?]+(?=[ \t-\r]|\Z)")
+
+
 class Encoder:
     """encode(texts) gives each text's ids (uint32), the same as the library's for the whole text.
 
     The tokenizer of TOKENIZER drops white space before it merges, so a text's ids are those of its blank-separated
     chunks in a row; chunks repeat, and the library sees each new one once. A chunk's trailing .,;:!? after a letter or
-    digit is a token run of its own, so it is looked up apart. Texts with "<|" (special tokens) go to the library whole.
-    The cache is emptied when it holds most_chunks, so memory is bounded.
+    digit is a token run of its own, so it is looked up apart. New chunks of letters alone go to the library as one
+    text: each is one word there, and only a word's last token ends a word. Texts with "<|" (special tokens) go to the
+    library whole. The cache is emptied when it holds most_chunks, so memory is bounded.
     """
 
-    def __init__(self, path: str, most_chunks: int = 250_000):
+    def __init__(self, path: str, most_chunks: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.lib, self.cache, self.most = Tokenizer.from_file(path), {}, most_chunks
+        self.lib, self.most = Tokenizer.from_file(path), most_chunks
         self.lib.no_truncation()
         state = self.lib.to_str()
         self.by_chunk = '"Replace","pattern":{"Regex":"\\\\s+"}' in state and '"behavior":"Removed","invert":true' in state and '"Lowercase"' in state
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.cache: dict[bytes, int] = {}
+        self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.n = 0
 
     def _chunks(self, text: str) -> list[bytes]:
-        out = []
-        for c in text.encode().lower().split():
-            if c[-1] in b".,;:!?":
-                stem = c.rstrip(b".,;:!?")
-                if stem and stem[-1:].isalnum():
-                    out += (stem, c[len(stem) :])
-                    continue
-            out.append(c)
-        return out
+        return _TAIL.sub(rb" \g<0>", text.encode().lower()).split()
+
+    def _add(self, chunks: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        base, n = int(self.at[self.n]), self.n
+        while base + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(chunks) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.flat[base : base + len(ids)] = ids
+        self.at[n + 1 : n + 1 + len(chunks)] = base + ends
+        self.cache.update(zip(chunks, range(n, n + len(chunks))))
+        self.n = n + len(chunks)
+
+    def _learn(self, new: list[bytes]) -> None:
+        words, rest = [], []
+        for c in new:
+            (words if c.isalpha() or (w := c.decode()).isalpha() and w.lower().isalpha() else rest).append(c)
+        for i in range(0, len(words), 1024):
+            part = words[i : i + 1024]
+            ids = np.array(self.lib.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._add(part, ids, ends)
+            else:
+                rest += part
+        for i in range(0, len(rest), 1024):
+            part = rest[i : i + 1024]
+            each = [e.ids for e in self.lib.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)]
+            self._add(part, np.array([x for e in each for x in e], np.uint32), np.cumsum([len(e) for e in each]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self._chunks(t) if self.by_chunk and "<|" not in t else None for t in texts]
+        if self.n > self.most:
+            self.clear()
         cache = self.cache
-        if len(cache) > self.most:
-            cache.clear()
-        new = list({c for p in plain if p for c in p if c not in cache})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.lib.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                cache[c] = e.ids
+        self._learn([c for c in set().union(*filter(None, plain)) if c not in cache])
         out = []
         for text, p in zip(texts, plain):
             if p is None:
-                ids = self.lib.encode(text, add_special_tokens=False).ids
-            else:
-                ids = []
-                for c in p:
-                    ids += cache[c]
-            ids = np.array(ids, np.uint32)
-            out.append(ids)
+                out.append(np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32))
+                continue
+            k = np.fromiter(map(cache.__getitem__, p), np.int64, len(p))
+            start, size = self.at[k], self.at[k + 1] - self.at[k]
+            ends = np.cumsum(size)
+            where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+            out.append(self.flat[where])
         return out
 
 
