@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ STRFTIME = {
 }
 
 
+def micros(ts) -> Column:
+    """Microseconds since the epoch, of timestamps with and without a zone."""
+    return F.unix_micros(_c(ts).cast("timestamp"))
+
+
 def java_format(fmt: str) -> str:
     """A strftime pattern in Java's letters, its literal text quoted."""
     out, lit, i = [], "", 0
@@ -53,6 +60,25 @@ PATTERNS = [
     "yyyy-MM-dd HH:mm:ss,SSS", "yyyy/MM/dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss Z", "EEE, dd MMM yyyy HH:mm:ss Z", "EEE MMM d HH:mm:ss yyyy", "dd MMM yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss",
     "dd.MM.yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss'Z'", "yyyyMMdd HHmmss", "MMM d yyyy HH:mm:ss", "yyyy-MM-dd HH:mm",
 ]
+_SHAPES = {"yyyy": "[0-9]{4}", "SSSSSS": "[0-9]{6}", "SSS": "[0-9]{3}", "MMMM": "[A-Z][a-z]+", "MMM": "[A-Z][a-z]{2}", "EEEE": "[A-Z][a-z]+", "EEE": "[A-Z][a-z]{2}", "DDD": "[0-9]{3}", "xxx": "[+-][0-9]{2}:[0-9]{2}", "VV": r"\\S+", "Z": "[+-][0-9]{4}", "a": "[AP]M"}
+
+
+def shape(pattern: str) -> str:
+    """A regular expression for texts that a Java pattern may read: the parser takes exception to near misses."""
+    out = []
+    for m in re.finditer(r"'((?:[^']|'')*)'|(([A-Za-z])\3*)|[^A-Za-z']", pattern):
+        quoted, run, other = m[1], m[2], m[0]
+        if quoted:
+            out.append(re.escape(quoted))
+        elif run:
+            out.append(_SHAPES.get(run) or ("[0-9]{1,2}" if len(run) == 1 else f"[0-9]{{{len(run)}}}"))
+        else:
+            out.append(re.escape(other) if other != " " else " ")
+    return "^" + "".join(out) + r"\z"
+
+
+def try_parse(text: Column, pattern: str) -> Column:
+    return F.when(text.rlike(shape(pattern)), F.try_to_timestamp(text, F.lit(pattern)))
 
 
 def from_epoch(v) -> Column:
@@ -69,7 +95,7 @@ def with_year(text: Column, pattern: str, now) -> Column:
     """A text without a year, in the year that puts it nearest to now and not over a day after it."""
     now = F.to_timestamp(F.lit(now)) if isinstance(now, str) else (_c(now))
     at = [F.try_to_timestamp(F.concat((F.year(now) + d).cast("string"), F.lit(" "), text), F.lit("yyyy " + pattern)) for d in (-1, 0, 1)]
-    near = F.array(*[F.when(t <= now + F.expr("interval 24 hours"), F.struct(F.abs(F.unix_micros(t) - F.unix_micros(now)).alias("gap"), t.alias("t"))) for t in at])
+    near = F.array(*[F.when(t <= now + F.expr("interval 24 hours"), F.struct(F.abs(micros(t) - micros(now)).alias("gap"), t.alias("t"))) for t in at])
     return F.array_min(F.filter(near, lambda x: x.isNotNull()))["t"]
 
 
@@ -83,7 +109,7 @@ def parse_ts(v, fmt: str | None = None, tz: str = "UTC", now=None) -> Column:
     local = lambda t: t if tz == "UTC" else F.to_utc_timestamp(t, tz)
     if fmt:
         java = java_format(fmt)
-        t = F.try_to_timestamp(text, F.lit(java))
+        t = try_parse(text, java)
         return t if any(d in fmt for d in ("%z", "%Z", "%:z")) else local(t)
     iso = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?: ?(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2}))?)?\z")
     zoned = text.rlike(r"(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})\z") & text.rlike("[T ][0-9]{2}:")
@@ -92,7 +118,7 @@ def parse_ts(v, fmt: str | None = None, tz: str = "UTC", now=None) -> Column:
     cast = tidy.try_cast("timestamp")
     tries = [from_epoch(text), F.when(iso, F.when(zoned, cast).otherwise(local(cast)))]
     for p in PATTERNS:
-        t = F.try_to_timestamp(text, F.lit(p))
+        t = try_parse(text, p)
         tries.append(t if p.endswith((" Z", "'Z'")) else local(t))
     if now is not None:
         short = F.regexp_replace(text, r"\s+", " ")
@@ -155,7 +181,7 @@ def part(ts, name: str, tz: str = "UTC") -> Column:
 
 
 def ts_nanos(ts) -> Column:
-    return F.unix_micros(_c(ts)) * 1000
+    return micros(ts) * 1000
 
 
 def to_timezone(ts, tz: str) -> Column:
@@ -166,18 +192,18 @@ def to_timezone(ts, tz: str) -> Column:
 def round_to(ts, ns: int) -> Column:
     """Down to a multiple of the interval since the epoch."""
     us = max(1, ns // 1000)
-    n = F.unix_micros(_c(ts))
+    n = micros(ts)
     return F.timestamp_micros(n - F.pmod(n, F.lit(us)))
 
 
 def ceil_to(ts, ns: int) -> Column:
     us = max(1, ns // 1000)
-    n = F.unix_micros(_c(ts))
+    n = micros(ts)
     return F.timestamp_micros(n + F.pmod(-n, F.lit(us)))
 
 
 def plus(ts, ns) -> Column:
-    return F.timestamp_micros(F.unix_micros(_c(ts)) + _div(ns if isinstance(ns, Column) else F.lit(ns), 1000))
+    return F.timestamp_micros(micros(ts) + _div(ns if isinstance(ns, Column) else F.lit(ns), 1000))
 
 
 def minus(ts, ns) -> Column:
@@ -186,7 +212,7 @@ def minus(ts, ns) -> Column:
 
 def difference(a, b) -> Column:
     """Nanoseconds between two datetimes, never negative."""
-    return F.abs(F.unix_micros(_c(a)) - F.unix_micros(_c(b))) * 1000
+    return F.abs(micros(a) - micros(b)) * 1000
 
 
 def duration_difference(a, b) -> Column:

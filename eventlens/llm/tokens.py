@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,38 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 _TAIL = re.compile(rb"(?<=[0-9a-z])[.,;:!?]+(?=[ \t-\r]|\Z)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write the UTF-8 bytes of each Latin letter: printable bytes as themselves, others above U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    byte = {b: chr(b) if b in plain else None for b in range(256)}
+    for b in range(256):
+        if byte[b] is None:
+            byte[b] = chr(next(rest))
+    return {c: "".join(byte[x] for x in chr(c).encode()) for c in range(0x80, 0x250)}
+
+
+class _Numbers(dict):
+    """Chunk -> its number; a new chunk gets the next one and is noted."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Encoder:
     """encode(texts) gives each text's ids (uint32), the same as the library's for the whole text.
 
     The tokenizer of TOKENIZER drops white space before it merges, so a text's ids are those of its blank-separated
     chunks in a row; chunks repeat, and the library sees each new one once. A chunk's trailing .,;:!? after a letter or
-    digit is a token run of its own, so it is looked up apart. New chunks of letters alone go to the library as one
-    text: each is one word there, and only a word's last token ends a word. Texts with "<|" (special tokens) go to the
-    library whole. The cache is emptied when it holds most_chunks, so memory is bounded.
+    digit is a token run of its own, so it is looked up apart. A chunk of lower-case Latin letters is one word that
+    normalisation leaves as it is, so it goes straight to the library's merge model; all others take the whole way.
+    Texts with "<|" (special tokens) go to the library whole. The cache is emptied when it holds most_chunks, so memory
+    is bounded.
     """
 
     def __init__(self, path: str, most_chunks: int = 300_000):
@@ -48,68 +73,70 @@ class Encoder:
         self.lib, self.most = Tokenizer.from_file(path), most_chunks
         self.lib.no_truncation()
         state = self.lib.to_str()
-        self.by_chunk = '"Replace","pattern":{"Regex":"\\\\s+"}' in state and '"behavior":"Removed","invert":true' in state and '"Lowercase"' in state
-        vocab = self.lib.get_vocab(with_added_tokens=True)
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.by_chunk = '"Replace","pattern":{"Regex":"\\\\s+"}' in state and '"behavior":"Removed","invert":true' in state and '"Lowercase"' in state and '"ByteLevel"' in state
+        self.model, self.latin = self.lib.model, _byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        self.cache: dict[bytes, int] = {}
-        self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.n = 0
-
-    def _chunks(self, text: str) -> list[bytes]:
-        return _TAIL.sub(rb" \g<0>", text.encode().lower()).split()
-
-    def _add(self, chunks: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
-        base, n = int(self.at[self.n]), self.n
-        while base + len(ids) > len(self.flat):
+        self.numbers = _Numbers()
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _chunks(self, text: bytes) -> list[bytes]:
+        return _TAIL.sub(rb" \g<0>", text.lower()).split()
+
+    def _word(self, chunk: bytes) -> list[int]:
+        if not chunk.isalpha():
+            w = chunk.decode()
+            if not (w.isalpha() and w == w.lower() and max(w) < "\u0250"):
+                return self.lib.encode(w, add_special_tokens=False).ids
+            return [t.id for t in self.model.tokenize(w.translate(self.latin))]
+        return [t.id for t in self.model.tokenize(chunk.decode())]
+
+    def _learn(self) -> None:
+        new = self.numbers.new
+        if not new:
+            return
+        first, n = len(self.numbers) - len(new), len(self.numbers)
+        words = list(map(self._word, new))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        total = int(size.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(chunks) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.flat[base : base + len(ids)] = ids
-        self.at[n + 1 : n + 1 + len(chunks)] = base + ends
-        self.cache.update(zip(chunks, range(n, n + len(chunks))))
-        self.n = n + len(chunks)
-
-    def _learn(self, new: list[bytes]) -> None:
-        words, rest = [], []
-        for c in new:
-            (words if c.isalpha() or (w := c.decode()).isalpha() and w.lower().isalpha() else rest).append(c)
-        for i in range(0, len(words), 1024):
-            part = words[i : i + 1024]
-            ids = np.array(self.lib.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                self._add(part, ids, ends)
-            else:
-                rest += part
-        for i in range(0, len(rest), 1024):
-            part = rest[i : i + 1024]
-            each = [e.ids for e in self.lib.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)]
-            self._add(part, np.array([x for e in each for x in e], np.uint32), np.cumsum([len(e) for e in each]))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self._chunks(t) if self.by_chunk and "<|" not in t else None for t in texts]
-        if self.n > self.most:
+        while n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(words), np.uint32, total)
+        self.start[first:n], self.size[first:n] = self.used + np.cumsum(size) - size, size
+        self.used += total
+        new.clear()
+
+    def encode(self, texts: list[str | bytes]) -> list[np.ndarray]:
+        if len(self.numbers) > self.most:
             self.clear()
-        cache = self.cache
-        self._learn([c for c in set().union(*filter(None, plain)) if c not in cache])
+        get = self.numbers.__getitem__
+        keys: list[np.ndarray | None] = []
+        for text in texts:
+            raw = text.encode() if isinstance(text, str) else text
+            if self.by_chunk and b"<|" not in raw:
+                chunks = self._chunks(raw)
+                keys.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
+            else:
+                keys.append(None)
+        self._learn()
         out = []
-        for text, p in zip(texts, plain):
-            if p is None:
-                out.append(np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32))
+        for text, k in zip(texts, keys):
+            if k is None:
+                whole = text if isinstance(text, str) else text.decode()
+                out.append(np.array(self.lib.encode(whole, add_special_tokens=False).ids, np.uint32))
                 continue
-            k = np.fromiter(map(cache.__getitem__, p), np.int64, len(p))
-            start, size = self.at[k], self.at[k + 1] - self.at[k]
+            start, size = self.start[k], self.size[k]
             ends = np.cumsum(size)
             where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
             out.append(self.flat[where])
         return out
 
 
-def in_small_batches(batches, column: int, most_bytes: int = 4 << 20):
+def in_small_batches(batches, column: int, most_bytes: int = 2 << 20):
     """Record batches cut so that the texts of each are about most_bytes; a single longer text stays whole."""
     for b in batches:
         size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0))
@@ -124,7 +151,7 @@ def _encode_rows(path: str, end_id: int):
 
         enc, part, start = Encoder(path), task_id(), 0
         for b in in_small_batches(batches, 1):
-            ids = [np.append(x, np.uint32(end_id)) for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
+            ids = [np.append(x, np.uint32(end_id)) for x in enc.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])]
             n = np.array([len(x) for x in ids], np.int64)
             ends = np.cumsum(n)
             flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.datetime import micros
 from ..sources.formats import LEVEL_NAMES, MESSAGE_NAMES, TS_NAMES, canonical
 
 
@@ -163,5 +164,5 @@ def window_values(df: DataFrame, order: str, n: int, fields: list[str], by: list
 def mark_gaps(df: DataFrame, ts: str, order: str, seconds: float, by: list[str] | None = None) -> DataFrame:
     """gap_us where the step from the last timestamp, in either direction, is at least the duration."""
     w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    step = F.abs(F.unix_micros(ts) - F.unix_micros(F.last(ts, ignorenulls=True).over(w)))
+    step = F.abs(micros(ts) - micros(F.last(ts, ignorenulls=True).over(w)))
     return df.withColumn("gap_us", F.when(step >= int(seconds * 1e6), step))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.datetime import micros
 from ..sources.lines import PART, running_sum
 
 
@@ -53,7 +54,7 @@ def time_spans(df: DataFrame, ts: str, order: str, duration: str, by=()) -> Data
     An event whose window starts before one already open is late and in no span; one without a timestamp is unassigned.
     """
     us = _micros(duration)
-    at = F.unix_micros(ts)
+    at = micros(ts)
     begin = at - F.pmod(at, F.lit(us))
     out = before_max(df.withColumn("__b", begin), order, "__open", F.col("__b"), by)
     status = F.when(F.col("__b").isNull(), "unassigned").when(F.col("__b") < F.col("__open"), "late").otherwise("included")
@@ -80,8 +81,8 @@ def field_spans(df: DataFrame, field: str, order: str, by=()) -> DataFrame:
 
 def idle_spans(df: DataFrame, ts: str, order: str, seconds: float, by=()) -> DataFrame:
     """A new span when an event comes more than the timeout after the latest timestamp so far; late ones join the open span."""
-    out = before_max(df, order, "__top", F.unix_micros(ts), by)
-    new = F.unix_micros(ts).isNotNull() & (F.col("__top").isNull() | (F.unix_micros(ts) - F.col("__top") > int(seconds * 1e6)))
+    out = before_max(df, order, "__top", micros(ts), by)
+    new = micros(ts).isNotNull() & (F.col("__top").isNull() | (micros(ts) - F.col("__top") > int(seconds * 1e6)))
     out = _running(out.withColumn("__new", new.cast("long")), F.col("__new"), order, "span_no", list(by))
     return out.withColumn("span_id", F.when(F.col(ts).isNotNull(), F.concat(F.lit("idle-#"), F.col("span_no").cast("string")))).drop("__top", "__new")
 
