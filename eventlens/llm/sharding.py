@@ -1,9 +1,9 @@
 """Global shuffle into shards: two passes, native expressions only.
 
-Pass 1 scatters records over memory-sized buckets by a seeded hash of the id. Pass 2 shuffles each bucket with a seeded
-Fisher-Yates permutation. Only (id, tag) pairs are permuted; the place of a record in the whole order is its bucket's
-offset plus its place in the bucket, and records are dealt to shards round robin, so shard sizes differ by one at most
-(law `rows`). write_shards() then moves each record once, straight to its shard.
+Pass 1 scatters records over memory-sized buckets by a seeded hash of what they carry. Pass 2 shuffles each bucket with
+a seeded Fisher-Yates permutation. The place of a record in the whole order is its bucket's offset plus its place in the
+bucket, and records are dealt to shards round robin, so shard sizes differ by one at most (law `rows`). Only an id and
+a few numbers travel; write_shards() then moves each record once, straight to its shard.
 """
 
 from __future__ import annotations
@@ -13,47 +13,50 @@ from pyspark.sql import functions as F
 
 from .common import keep, table
 
-#: Records a bucket holds on average: 16 bytes each, so a bucket is a few hundred kB wherever it is shuffled.
+#: Records a bucket holds on average: some tens of bytes each, so a bucket is a few hundred kB wherever it is shuffled.
 BUCKET_ROWS = 4096
+#: Rows of one record that are numbered at a time.
+_RUN = 65_536
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, id_col: str = "doc_id", tag=None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(id, tag, copy, shard, slot): the place of every row. Slots are gapless from 0 in each shard.
+def assign_shards(docs: DataFrame, carried: list[str], n_shards: int = 8, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The carried columns, copy, shard and slot: the place of every row. Slots are gapless from 0 in each shard.
 
-    Rows with a null id and repeated rows each get a place of their own: `copy` numbers the rows of one (id, tag).
-    An empty table gives an empty result.
+    Rows alike in all carried columns, nulls included, each get a place of their own: `copy` numbers them. An empty table
+    gives an empty result.
     """
-    tag = F.lit(0).cast("long") if tag is None else tag
-    groups = docs.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag")).groupBy("id", "tag").agg(F.count("*").alias("copies"))
-    rows = groups.select("id", "tag", F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy"))
+    groups = docs.groupBy(*carried).agg(F.count("*").alias("__n"))
+    # numbered in runs, so that a record with very many copies needs no array of them all
+    runs = groups.select(*carried, "__n", F.explode(F.expr(f"sequence(0L, __n - 1, {_RUN}L)")).alias("__from"))
+    rows = runs.select(*carried, F.explode(F.expr(f"sequence(__from, least(__from + {_RUN}, __n) - 1)")).alias("copy"))
     n = max(1, -(-docs.count() // bucket_rows))
-    scattered = rows.withColumn("bucket", F.expr(f"pmod(xxhash64({seed}, id, tag, copy), {n})").cast("int"))
-    each = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("id", "tag", "copy"))).alias("members"))
+    record = [*carried, "copy"]
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *record), F.lit(n)).cast("long")
+    each = rows.withColumn("bucket", bucket).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct(*record))).alias("members"))
     # the written table fixes the permutation: whatever is recomputed later reads the same one
-    dealt = keep(each.sortWithinPartitions("bucket").select("bucket", F.shuffle("members", F.lit(seed)).alias("members")), "shuffled")
+    dealt = keep(each.select("bucket", F.shuffle("members", F.lit(seed)).alias("members")), "shuffled")
     sizes = dealt.select("bucket", F.size("members").alias("n"))
+    # one row a bucket
     before = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
-    at = dealt.join(before, "bucket").select("before", F.posexplode("members").alias("pos", "m")).select("m.*", (F.col("before") + F.col("pos")).alias("place"))
-    return at.select("id", "tag", "copy", F.expr(f"cast(place % {n_shards} as int)").alias("shard"), F.expr(f"place div {n_shards}").alias("slot"))
+    at = dealt.join(before, "bucket").select("before", F.posexplode("members").alias("pos", "m"))
+    place = F.col("before") + F.col("pos")
+    return at.select("m.*", (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, seed: int = 17, id_col: str = "doc_id") -> None:
     """Writes docs, in shuffled order, below path/shard=K. Columns shard and slot are added; clashing ones are replaced."""
     own = [c for c in docs.columns if c not in ("shard", "slot")]
-    tag = F.xxhash64(*[F.col(c) for c in own])
-    place = assign_shards(docs, n_shards, seed, id_col, tag=tag)
-    numbered = docs.select(*own, F.col(id_col).cast("long").alias("__id"), tag.alias("__tag"))
-    copies = Window.partitionBy("__id", "__tag").orderBy("__tag")
-    numbered = numbered.withColumn("__copy", F.row_number().over(copies) - 1)
-    at = place.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("copy").alias("__copy"), "shard", "slot")
-    joined = numbered.join(at, numbered["__id"].eqNullSafe(at["__id"]) & (numbered["__tag"] == at["__tag"]) & (numbered["__copy"] == at["__copy"]))
+    tagged = docs.select(*own, F.col(id_col).cast("long").alias("__id"), F.xxhash64(*[F.col(c) for c in own]).alias("__tag"))
+    place = assign_shards(tagged.select("__id", "__tag"), ["__id", "__tag"], n_shards, seed).withColumnRenamed("copy", "__copy")
+    numbered = tagged.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__tag").orderBy("__tag")).cast("long") - 1)
+    same = [numbered[c].eqNullSafe(place[c]) for c in ("__id", "__tag", "__copy")]
+    joined = numbered.join(place, same[0] & same[1] & same[2])
     joined.select(*own, "shard", "slot").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document; law `rows`."""
-    docs = table(spark, sf_dir, "documents")
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document; law `rows`. A null text has no bytes."""
     text = F.coalesce("text", F.lit(""))
-    facts = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    place = assign_shards(docs)
-    return facts.join(place.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    facts = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    placed = assign_shards(facts, ["doc_id", "size", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
