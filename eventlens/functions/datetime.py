@@ -78,7 +78,15 @@ def shape(pattern: str) -> str:
 
 
 def try_parse(text: Column, pattern: str) -> Column:
-    return F.when(text.rlike(shape(pattern)), F.try_to_timestamp(text, F.lit(pattern)))
+    """The text read by a Java pattern, else null. A weekday says nothing that the date doesn't, and the parser takes none: it is cut out first."""
+    cuts = [m.span() for m in re.finditer(r"'(?:[^']|'')*'|E+", pattern) if m[0][0] == "E"]
+    if not cuts:
+        return F.when(text.rlike(shape(pattern)), F.try_to_timestamp(text, F.lit(pattern)))
+    a, z = cuts[0]
+    head, day, tail = pattern[:a], pattern[a:z], pattern[z:]
+    bare = lambda x: shape(x)[1:-2]
+    without = F.regexp_replace(text, f"^({bare(head)}){bare(day)}({bare(tail)})\\z", "$1$2")
+    return F.when(text.rlike(shape(pattern)), try_parse(F.trim(without), (head + tail).strip()) if len(cuts) > 1 else F.try_to_timestamp(F.trim(F.regexp_replace(without, "^, ", "")), F.lit((head + tail).strip().removeprefix(", "))))
 
 
 def from_epoch(v) -> Column:
