@@ -29,8 +29,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: A chunk's sentence signs after a letter or digit.
-_TAIL = re.compile(rb"(?<=[0-9a-z])[.,;:!?]+(?=[ \t-\r]|\Z)")
+#: The runs of an ASCII chunk in lower case that the tokenizer merges each for itself.
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^0-9a-z]+")
+#: Sentence signs, which often end a chunk.
+_SIGNS = ".,;:!?"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -60,14 +62,14 @@ class Encoder:
     """encode(texts) gives each text's ids (uint32), the same as the library's for the whole text.
 
     The tokenizer of TOKENIZER drops white space before it merges, so a text's ids are those of its blank-separated
-    chunks in a row; chunks repeat, and the library sees each new one once. A chunk's trailing .,;:!? after a letter or
-    digit is a token run of its own, so it is looked up apart. A chunk of lower-case Latin letters is one word that
-    normalisation leaves as it is, so it goes straight to the library's merge model; all others take the whole way.
-    Texts with "<|" (special tokens) go to the library whole. The cache is emptied when it holds most_chunks, so memory
-    is bounded.
+    chunks in a row; chunks repeat, and the library sees each new one once. An ASCII chunk, or one of lower-case Latin
+    letters and then sentence signs, is left as it is by normalisation, so its runs go straight to the library's merge model; all others take
+    the whole way.
+    Texts with "<|" (special tokens) go to the library whole. When the cache holds most_chunks, the chunks that came
+    most often stay, half as many at most, so memory is bounded and common chunks aren't encoded anew.
     """
 
-    def __init__(self, path: str, most_chunks: int = 300_000):
+    def __init__(self, path: str, most_chunks: int = 400_000):
         from tokenizers import Tokenizer
 
         self.lib, self.most = Tokenizer.from_file(path), most_chunks
@@ -80,17 +82,44 @@ class Encoder:
     def clear(self) -> None:
         self.numbers = _Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.size, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _age(self) -> None:
+        """Forgets the rarer chunks."""
+        n = len(self.numbers)
+        seen = self.seen[:n]
+        least = max(2, int(np.partition(seen, n - self.most // 2)[n - self.most // 2]) + 1)
+        stay = np.flatnonzero(seen >= least)
+        old, start, size, flat, seen = list(self.numbers), self.start[stay], self.size[stay], self.flat, seen[stay]
+        self.clear()
+        for i in stay.tolist():
+            self.numbers[old[i]]
+        self.numbers.new.clear()
+        ends = np.cumsum(size)
+        self.used = int(ends[-1]) if len(ends) else 0
+        self._room(len(stay), self.used)
+        self.flat[: self.used] = flat[np.arange(self.used) + np.repeat(start - ends + size, size)]
+        self.start[: len(stay)], self.size[: len(stay)], self.seen[: len(stay)] = ends - size, size, seen // 2
+
+    def _room(self, chunks: int, ids: int) -> None:
+        while ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while chunks > len(self.start):
+            self.start, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.seen))
 
     def _chunks(self, text: bytes) -> list[bytes]:
-        return _TAIL.sub(rb" \g<0>", text.lower()).split()
+        return text.lower().split()
 
     def _word(self, chunk: bytes) -> list[int]:
         if not chunk.isalpha():
             w = chunk.decode()
-            if not (w.isalpha() and w == w.lower() and max(w) < "\u0250"):
+            if chunk.isascii() and w.isprintable():
+                return [t.id for run in _RUNS.findall(w) for t in self.model.tokenize(run)]
+            letters = w.rstrip(_SIGNS)
+            if not (letters.isalpha() and letters == letters.lower() and max(letters) < "\u0250"):
                 return self.lib.encode(w, add_special_tokens=False).ids
-            return [t.id for t in self.model.tokenize(w.translate(self.latin))]
+            ids = [t.id for t in self.model.tokenize(letters.translate(self.latin))]
+            return ids if letters == w else ids + [t.id for t in self.model.tokenize(w[len(letters) :])]
         return [t.id for t in self.model.tokenize(chunk.decode())]
 
     def _learn(self) -> None:
@@ -101,10 +130,7 @@ class Encoder:
         words = list(map(self._word, new))
         size = np.fromiter(map(len, words), np.int64, len(words))
         total = int(size.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self._room(n, self.used + total)
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(words), np.uint32, total)
         self.start[first:n], self.size[first:n] = self.used + np.cumsum(size) - size, size
         self.used += total
@@ -112,7 +138,7 @@ class Encoder:
 
     def encode(self, texts: list[str | bytes]) -> list[np.ndarray]:
         if len(self.numbers) > self.most:
-            self.clear()
+            self._age()
         get = self.numbers.__getitem__
         keys: list[np.ndarray | None] = []
         for text in texts:
@@ -129,6 +155,7 @@ class Encoder:
                 whole = text if isinstance(text, str) else text.decode()
                 out.append(np.array(self.lib.encode(whole, add_special_tokens=False).ids, np.uint32))
                 continue
+            np.add.at(self.seen, k, 1)
             start, size = self.start[k], self.size[k]
             ends = np.cumsum(size)
             where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
