@@ -69,7 +69,7 @@ class Encoder:
     most often stay, half as many at most, so memory is bounded and common chunks aren't encoded anew.
     """
 
-    def __init__(self, path: str, most_chunks: int = 400_000):
+    def __init__(self, path: str, most_chunks: int = 600_000):
         from tokenizers import Tokenizer
 
         self.lib, self.most = Tokenizer.from_file(path), most_chunks
