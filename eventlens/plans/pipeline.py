@@ -78,6 +78,6 @@ def run_spec(source: Events, spec: str | list, saved: dict[str, list] | None = N
                 raise ValueError(f"saved steps use themselves: {' > '.join((*seen, name))}")
             out = run_spec(out, (saved or {})[name], saved, (*seen, name))
         else:
-            method, args, options = (*step, [], {})[:3] if len(step) < 3 else step
+            method, args, options = step[0], step[1] if len(step) > 1 else [], step[2] if len(step) > 2 else {}
             out = getattr(out, method)(*args, **options)
     return out
