@@ -7,7 +7,8 @@ segmentation, and the rest of the set is split by the step at which other segmen
 The k results are distinct; kappa, the best value left, gives each one's inclusion score 1 - exp(-exp(logp - kappa)).
 
 The vocabulary is a merge list, whose scores are ranks: a piece's weight is Zipf's, 1 / (rank + 10), to the power alpha.
-Spaces start pieces and never stand inside one, so lattices are built for each word once and kept in flat arrays.
+Spaces start pieces and never stand inside one, so a task builds each word's lattice once and keeps it in flat arrays;
+they are emptied when they hold MOST_WORDS, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,7 @@ from .common import table
 from .tokens import in_small_batches, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
+MOST_WORDS = 250_000
 _CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 
 
@@ -62,15 +66,32 @@ class Lattices:
         self.id = np.array([values[r][0] for r in order], np.int64)
         self.weight = np.array([values[r][1] for r in order])
         assert (np.diff(self.hash) > 0).all()
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.nodes = self.edges = 0
+        self.first = np.zeros(1 << 16, np.int64)
+        self.by_edge = [np.zeros(1 << 16, t) for t in (np.int32, np.float64, np.float64, np.int32, np.int32)]
 
     def normalize(self, text: str | None) -> str:
         return self.sp.normalize(text) if text else ""
 
     def build(self, texts: list[str]) -> tuple[tuple, list[np.ndarray]]:
         """(flat arrays of the lattices of all words of the texts, each text's words as their first nodes)."""
-        of: dict[str, int] = {}
-        where = [[of.setdefault(w, len(of)) for w in _CHUNK.findall(t)] for t in texts]
-        words = list(of)
+        if len(self.roots) > MOST_WORDS:
+            self.clear()
+        found = [_CHUNK.findall(t) for t in texts]
+        new = [w for w in dict.fromkeys(chain.from_iterable(found)) if w not in self.roots]
+        if new:
+            self._add(new)
+        get = self.roots.__getitem__
+        flat = (self.first[: self.nodes + 1], *(x[: self.edges] for x in self.by_edge))
+        dest, lp, cum, piece, source = flat[1:]
+        return (flat[0], dest, lp, cum, piece, source), [np.fromiter(map(get, x), np.int64, len(x)) for x in found]
+
+    def _add(self, words: list[str]) -> None:
+        """Appends the lattices of words that aren't there yet."""
         size = np.array([len(w) for w in words], np.int64)
         cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         word = np.repeat(np.arange(len(words)), size)
@@ -117,11 +138,22 @@ class Lattices:
         source, dest, piece = source[order], dest[order], piece[order]
         lp = value[order] - beta[source]
         first = np.searchsorted(source, np.arange(len(beta) + 1))
-        p = np.exp(lp)
-        total = np.cumsum(p)
-        cum = total - np.r_[0.0, total][first[source]]
-        cum[first[1:][first[1:] > first[:-1]] - 1] = 2.0
-        return (first, dest, lp, cum, piece, source), [root[x] if x else np.zeros(0, np.int64) for x in where]
+        # probabilities summed within each node
+        cum, degree = np.exp(lp), np.diff(first)
+        for d in range(1, int(degree.max()) if len(degree) else 0):
+            e = first[:-1][degree > d] + d
+            cum[e] += cum[e - 1]
+        cum[first[1:][degree > 0] - 1] = 2.0
+        nodes, edges = self.nodes + len(beta), self.edges + len(dest)
+        if nodes + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(nodes, np.int64)])
+        self.first[self.nodes : nodes + 1] = first + self.edges
+        for k, x in enumerate((dest + self.nodes, lp, cum, piece, source + self.nodes)):
+            if edges > len(self.by_edge[k]):
+                self.by_edge[k] = np.concatenate([self.by_edge[k], np.zeros(edges // 2 + len(dest), self.by_edge[k].dtype)])
+            self.by_edge[k][self.edges : edges] = x
+        self.roots.update(zip(words, (root + self.nodes).tolist()))
+        self.nodes, self.edges = nodes, edges
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -218,10 +250,16 @@ def _ids(lat: Lattices, flat, edges: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
+@lru_cache(maxsize=1)
+def _lattices(model_path: str, alpha: float) -> Lattices:
+    """Kept for all tasks of a worker."""
+    return Lattices(model_path, alpha)
+
+
 def _samples(model_path: str, k: int, seed: int, alpha: float, digest: bool):
     def run(batches):
-        lat = Lattices(model_path, alpha)
-        for b in in_small_batches(batches, 1):
+        lat = _lattices(model_path, alpha)
+        for b in in_small_batches(batches, 1, 4 << 20):
             docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             flat, roots = lat.build([lat.normalize(t) for t in texts])
             rows = []
