@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, table, task_id
-from .tokens import END_ID, Encoder, in_small_batches, tokenizer_path
+from .tokens import END_ID, encoder, in_small_batches, tokenizer_path
 
 SIZE = 4096
 
@@ -135,7 +135,7 @@ def _cut(path: str, size: int, end_id: int):
     """Pieces of each text, with the task's number and the rank among the task's pieces of that length."""
 
     def run(batches):
-        enc, part, seen = Encoder(path), task_id(), np.zeros(size + 1, np.int64)
+        enc, part, seen = encoder(path), task_id(), np.zeros(size + 1, np.int64)
         for b in in_small_batches(batches, 1):
             out = []
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -163,6 +164,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """Kept for all tasks of a worker."""
+    return Encoder(path)
+
+
 def in_small_batches(batches, column: int, most_bytes: int = 2 << 20):
     """Record batches cut so that the texts of each are about most_bytes; a single longer text stays whole."""
     for b in batches:
@@ -175,8 +182,7 @@ def in_small_batches(batches, column: int, most_bytes: int = 2 << 20):
 
 def _encode_rows(path: str, end_id: int):
     def run(batches):
-
-        enc, part, start = Encoder(path), task_id(), 0
+        enc, part, start = encoder(path), task_id(), 0
         for b in in_small_batches(batches, 1):
             ids = [np.append(x, np.uint32(end_id)) for x in enc.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])]
             n = np.array([len(x) for x in ids], np.int64)
