@@ -1,6 +1,6 @@
 """Secret scan: regex candidates, a random forest against false positives, all native.
 
-Candidates are long runs of key characters. Each is described by its length, its character classes and the changes
+Candidates are long runs of key characters, and values of any kind after secret-like names. Each is described by its length, its character classes and the changes
 between them, how much of it dictionary words cover, whether it stands in a path, and its neighbouring words. A random
 forest trained on labelled findings decides; its trees become one SQL expression, so scoring is a projection over the
 documents: no shuffle, no Python, no explode.
@@ -17,8 +17,39 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: A candidate: a run of 16 key characters or more, not inside a longer run, with a digit among its first 40 characters or a known prefix.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]{0,40}[0-9]|(?:gh[pousr]_|xox[abprs]-|sk[-_]|AKIA|eyJ))[A-Za-z0-9+/_\-]{16,}+={0,2}"
+#: How known kinds of keys begin.
+_PREFIXES = "AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|eyJ|AIza|glpat-|npm_"
+#: Ends of names that stand before secrets; _ is one of _, - and blank, or nothing.
+_NAMES = "token secret password passwort passwd passphrase passcode pass pwd auth credential credentials api_key access_key secret_key private_key client_key auth_key".split()
+
+
+def _after_name() -> str:
+    """Stands after a name, a sign of assignment and a quote at most. Each lookbehind has one width, as Python's re asks for."""
+    widths: dict[int, list[str]] = {}
+    for name in _NAMES:
+        for gap in ("", "[_ -]") if "_" in name else ("",):
+            parts = ["".join(f"[{c.upper()}{c}]" for c in x) for x in name.split("_")]
+            widths.setdefault(len(name) - name.count("_") + (gap != ""), []).append(gap.join(parts))
+    out = ["(?<=[Bb][Ee][Aa][Rr][Ee][Rr] )"]
+    for quote in ("", "[\"`\\x27]", r"\\[\"\x27]"):
+        for blank in ("", "[ \\t]"):
+            for sign in ("[:=]", "=>", ":="):
+                for before in ("", "[ \\t\"\\x27]", "[\"\\x27] "):
+                    sep = before + sign + blank + quote
+                    names = "|".join(f"(?<=(?:{'|'.join(x)}){sep})" for x in widths.values())
+                    out.append(f"(?<={sep})(?:{names})")
+    return "(?:" + "|".join(out) + ")"
+
+
+_KEY = r"[A-Za-z0-9+/_\-]"
+#: '=' is part of a candidate as padding only, not where a value follows it.
+_PAD = rf"(?:={{1,2}}(?!{_KEY}|=))?"
+#: A candidate, not inside a longer run: after a secret-like name any value of 4 characters or more; elsewhere a run of
+#: 16 key characters or more, with a digit among its first 40 characters or a known prefix.
+CANDIDATE = (
+    rf"(?<!{_KEY})(?:(?<=[:=> \t\"`\x27])(?=[A-Za-z0-9+/_\-!@#$%^*~.]{{4}}){_after_name()}[A-Za-z0-9+/_\-!@#$%^*~.]{{3,}}[A-Za-z0-9+/_\-!@#$%^*~]{_PAD}"
+    rf"|(?=[A-Za-z+/_\-]{{0,40}}[0-9]|(?:{_PREFIXES})){_KEY}{{16,}}{_PAD})"
+)
 WORDS = (
     "example sample test dummy your here key token secret password user name data http https html index path file image static assets content page post article "
     "version release commit build class function return value config default module package import export public private service account login session "
@@ -27,7 +58,7 @@ WORDS = (
 _WORD_RE = "(?:" + "|".join(sorted(set(w for w in WORDS if len(w) > 2), key=lambda w: (-len(w), w))) + ")"
 _NEAR_GOOD = r"(?i)(?:token|secret|passw|pwd|api[_ \-]?key|access[_ \-]?key|auth|bearer|credential|private[_ \-]?key|client[_ \-]?key)"
 _NEAR_BAD = r"(?i)(?:commit|sha-?\d|checksum|digest|md5|uuid|guid|etag|hash|example|revision|build|order|invoice|isbn|phone|tracking|integrity)"
-_PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|eyJ|AIza|glpat-|npm_)"
+_PREFIX = f"^(?:{_PREFIXES})"
 
 #: Name and SQL of each feature of a candidate v between the texts before and after.
 FEATURES = {
@@ -39,6 +70,7 @@ FEATURES = {
     "f_change": "(length(regexp_replace(v, '(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])', '#')) - length(v)) / length(v)",
     "f_distinct": "size(array_distinct(split(substring(v, 1, 64), ''))) / least(length(v), 64)",
     "f_words": f"1 - length(regexp_replace(lower(v), '{_WORD_RE}', '')) / length(v)",
+    "f_vowels": "length(regexp_replace(lower(v), '[^aeiouy]', '')) / length(v)",
     "f_letters": "length(regexp_extract(v, '[A-Za-z]{7,}', 0)) / length(v)",
     "f_path": "cast(before rlike '[a-z]:/{0,2}[^ ]*$|[./~]$|/[^ ]*$' or v rlike '^/|/[a-z]{3,}/|[a-z]+/[a-z]+/' or after rlike '^[.][a-z]{2,4}\\\\b' as double)",
     "f_uuid": "cast(v rlike '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$' as double)",
@@ -62,6 +94,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     sep = pick(' = "', ": ", "=", ' = \\\'', ":", '=\\"', ' => "')
     after = pick('" and the', "", " ", '" der', "\\\\n", '", ')
     prose = pick("the report of ", "see also ", "und dann ", "value ", "we saw ", "id ", "ref ", "number ", "que la ")
+    word = pick("required", "string", "optional", "undefined", "disabled", "expired", "invalid", "missing", "placeholder", "changeme", "None", "null", "true", "false", "rotation", "management", "policy", "reset", "vergessen", "oublie", "olvidada", "which", "there", "Basic", "generator", "authentication", "********", "xxxxxxxx", "process.env.TOKEN", "$PASSWORD", "protected")
     kinds = [
         (f"concat({prose}, {name}, {sep})", h("a", 40), after, 1),
         (f"concat({prose}, {name}, {sep})", b("b", 40), after, 1),
@@ -72,6 +105,13 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (prose, f"concat('xoxb-', {h('g', 12)}, '-', {b('h', 24, 'ab')})", after, 1),
         (f"concat('Authorization: Bearer ', '')", f"concat('eyJ', {b('i', 60, '_-')})", after, 1),
         (prose, f"concat('sk_live_', {b('j', 24, 'ab')})", after, 1),
+        (f"concat({prose}, {name}, {sep})", f"translate({b('A', 12, 'kW')}, '0123456789', 'qZxKvJwPgB')", after, 1),
+        (f"concat({name}, {sep})", f"concat({b('B', 7, 'kW')}, pmod(id, 10))", after, 1),
+        (f"concat({name}, {sep})", f"translate({h('C', 10)}, '0123456789', 'qzxkvjwpgt')", after, 1),
+        (f"concat({prose}, {name}, {sep})", f"concat({pick('hunter', 'Summer', 'dragon', 'Winter', 'monkey', 'sommer', 'Soleil', 'qwerty')}, pmod(id, 1000), {pick('!', '', '#', '$', '!!')})", after, 1),
+        (f"concat({pick('AWS_SECRET_ACCESS_KEY', 'export DB_PASSWORD', 'API_TOKEN', 'CLIENT_SECRET', 'https://host.org/v1/x?api_key', 'GET /a?n=1&access_token')}, '=')", b("D", 40), pick("\\n", "&x=1", " ", ""), 1),
+        (f"concat({prose}, {name}, {sep})", word, after, 0),
+        (f"concat({name}, {sep})", word, after, 0),
         (f"concat({pick('commit ', 'sha1 ', 'sha-256: ', 'revision ', 'md5 = ', 'checksum: ')}, '')", h("k", 40), "' in the '", 0),
         (f"concat({pick('digest: ', 'etag=', 'integrity ', 'hash ', 'build ')}, '')", h("l", 64), "' '", 0),
         (f"concat({pick('uuid ', 'id: ', 'request ', 'guid=', 'session ')}, '')", f"concat({h('m', 8)}, '-', {h('n', 4)}, '-', {h('o', 4)}, '-', {h('p', 4)}, '-', {h('q', 12)})", "' '", 0),
@@ -116,7 +156,7 @@ def scan(docs: DataFrame, forest: str, text_col: str = "text", threshold: float
     parts = parts.withColumn("__gaps", F.when(F.size("__v") > 0, F.split("__text", CANDIDATE, -1)))
     struct = ", ".join(f"'{n}', cast({sql} as double)" for n, sql in FEATURES.items())
     sql = (
-        "transform(transform(transform(__v, (v, i) -> named_struct('v', v, 'before', right(__gaps[i], 48), 'after', left(__gaps[i + 1], 24))),"
+        "transform(transform(transform(__v, (v, i) -> named_struct('v', v, 'before', right(concat(if(i > 0, __v[i - 1], ''), __gaps[i]), 48), 'after', left(__gaps[i + 1], 24))),"
         f" s -> named_struct('v', s.v, {_in_struct(struct)})),"
         f" c -> named_struct('v', c.v, 'score', {forest}))"
     )

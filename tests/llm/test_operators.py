@@ -150,6 +150,27 @@ def test_secrets(spark, sf_dir, edge):
     assert right > 0.95
 
 
+def test_secrets_after_names(spark):
+    """Values after '=', short ones and ones without digits are candidates, and the forest calls them secrets."""
+    values = {
+        "token={} x": "ghp_abcdefghij0123456789abcdefghij012345",
+        "GET /a?api_key={}&x": "0123456789abcdef0123456789abcdef",
+        "AWS_SECRET_ACCESS_KEY={}\n": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY".replace("EXAMPLE", "qZ7uTwp"),
+        "export DB_PASSWORD={}": "Tr0ub4d&3"[:7],
+        'password: "{}"': "kQzXvWbTrP",
+        "secret_2_of_many_names=1&client_secret={}": "hT9kPq2x",
+    }
+    for form, v in values.items():
+        assert v in [m[0] for m in re.finditer(secrets.CANDIDATE, form.format(v))], form
+    findings = secrets.labelled_findings(spark, 2000)
+    for r in findings.where("label = 1").collect():
+        at = [(m.start(), m[0]) for m in re.finditer(secrets.CANDIDATE, r.before + r.v + r.after)]
+        assert (len(r.before), r.v) in at, r
+    df = spark.createDataFrame([(i, form.format(v)) for i, (form, v) in enumerate(values.items())], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df, secrets.train_forest(secrets.labelled_findings(spark))).collect()}
+    assert got == {i: form.format("[SECRET]") for i, form in enumerate(values)}
+
+
 def test_toxicity_held_out(spark, edge):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()}
