@@ -1,22 +1,27 @@
 """Global shuffle into shards: two passes, native expressions only.
 
-Pass 1 scatters records over memory-sized buckets by a seeded hash of what they carry. Pass 2 shuffles each bucket with
-a seeded Fisher-Yates permutation. The place of a record in the whole order is its bucket's offset plus its place in the
-bucket, and records are dealt to shards round robin, so shard sizes differ by one at most (law `rows`). Only an id and
-a few numbers travel; write_shards() then moves each record once, straight to its shard.
+write_shards() moves the records. Pass 1 scatters whole records over buckets of a few MB by a seeded hash of what they
+carry; pass 2 orders each bucket by another seeded hash and writes its records straight to their shards. The place of a
+record in the whole order is its bucket's offset plus its place in the bucket, and records are dealt to shards round
+robin, so shard sizes differ by one at most (law `rows`). Records cross the network once.
+
+assign_shards() gives places alone, from an id and a few numbers.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import keep, table
+from .common import keep, new_path, table
 
 #: Records a bucket holds on average: some tens of bytes each, so a bucket is a few hundred kB wherever it is shuffled.
 BUCKET_ROWS = 4096
 #: Rows of one record that are numbered at a time.
 _RUN = 65_536
+#: Bytes of records that a bucket of write_shards() holds on average.
+BUCKET_BYTES = 1 << 20
 
 
 def assign_shards(docs: DataFrame, carried: list[str], n_shards: int = 8, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -43,20 +48,43 @@ def assign_shards(docs: DataFrame, carried: list[str], n_shards: int = 8, seed:
     return at.select("m.*", (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 8, seed: int = 17, id_col: str = "doc_id") -> None:
-    """Writes docs, in shuffled order, below path/shard=K. Columns shard and slot are added; clashing ones are replaced."""
+def _bytes(docs: DataFrame):
+    """About the bytes of a record."""
+    each = {"string": "octet_length(`{}`)", "binary": "octet_length(`{}`)"}
+    wide = ("array", "map", "struct")
+    sizes = [each.get(t, "octet_length(cast(`{}` as string))" if t.startswith(wide) else "8").format(c.replace("`", "``")) for c, t in docs.dtypes]
+    return F.expr(" + ".join(f"coalesce({x}, 0)" for x in sizes)).cast("long")
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> None:
+    """Writes docs, in shuffled order, below path/shard=K. Columns shard and slot are added; clashing ones are replaced.
+
+    Slots are gapless from 0 in each shard, and each file is in their order. Rows alike in all columns share a bucket.
+    """
     own = [c for c in docs.columns if c not in ("shard", "slot")]
-    tagged = docs.select(*own, F.col(id_col).cast("long").alias("__id"), F.xxhash64(*[F.col(c) for c in own]).alias("__tag"))
-    place = assign_shards(tagged.select("__id", "__tag"), ["__id", "__tag"], n_shards, seed).withColumnRenamed("copy", "__copy")
-    numbered = tagged.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__tag").orderBy("__tag")).cast("long") - 1)
-    same = [numbered[c].eqNullSafe(place[c]) for c in ("__id", "__tag", "__copy")]
-    joined = numbered.join(place, same[0] & same[1] & same[2])
-    joined.select(*own, "shard", "slot").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    records = docs.select(*own)
+    drawn = lambda s: F.xxhash64(F.lit(s), *[F.col(f"`{c}`") for c in own])
+    total = records.agg(F.sum(_bytes(records)).alias("n")).first()["n"] or 0
+    bucketed = records.withColumn("__bucket", F.pmod(drawn(seed), F.lit(max(1, -(-total // bucket_bytes)))).cast("long"))
+    sizes = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    # one row a bucket
+    before = keep(sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before")), "buckets")
+    mixed = bucketed.withColumn("__pos", F.row_number().over(Window.partitionBy("__bucket").orderBy(drawn(seed + 1))) - 1)
+    place = F.col("__before") + F.col("__pos")
+    dealt = mixed.join(F.broadcast(before), "__bucket").select(*own, (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))
+    dealt.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The records of write_shards() with shard and slot; schema: of the records that were written."""
+    full = StructType([f for f in schema if f.name not in ("shard", "slot")]).add("slot", LongType()).add("shard", IntegerType())
+    return spark.read.schema(full).parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document; law `rows`. A null text has no bytes."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, read back from the written shards; law `rows`. A null text has no bytes."""
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "shards")
+    write_shards(docs, path)
     text = F.coalesce("text", F.lit(""))
-    facts = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    placed = assign_shards(facts, ["doc_id", "size", "text_crc32"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")
+    return read_shards(spark, path, docs.schema).select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

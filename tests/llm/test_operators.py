@@ -93,6 +93,26 @@ def test_sharding(spark, sf_dir, edge, tmp_path):
     assert sharding.assign_shards(edge.limit(0), ["doc_id"]).count() == 0
 
 
+def test_sharding_reads_back_what_was_written(spark, sf_dir, edge, tmp_path, monkeypatch):
+    """op7's rows come from the shards: a text damaged while it is written shows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = texts_of(spark, sf_dir)
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda d, *a: write(d.withColumn("text", F.concat("text", F.lit("!"))), *a))
+    rows = QUERIES["op7_sharding"](spark, sf_dir).collect()
+    assert len(rows) == len(texts) and all(r.text_crc32 == zlib.crc32((texts[r.doc_id] + "!").encode()) for r in rows)
+    # several buckets, all columns, gapless slots
+    write(docs, str(tmp_path / "s"), 3, bucket_bytes=10_000)
+    back = sharding.read_shards(spark, str(tmp_path / "s"), docs.schema)
+    assert back.drop("shard", "slot").exceptAll(docs).count() == 0 and back.count() == docs.count()
+    slots = defaultdict(list)
+    for r in back.select("shard", "slot").collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    write(edge.limit(0), str(tmp_path / "e"))
+    assert sharding.read_shards(spark, str(tmp_path / "e"), edge.schema).count() == 0
+
+
 def brute_base(text):
     words = WORD.findall(text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
