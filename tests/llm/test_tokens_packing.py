@@ -86,6 +86,20 @@ def test_edge_rows(spark, lib, tmp_path):
         assert [r.doc_id for r in tokens.read_token_table(spark, at, 3, 3).collect()] == [3]
 
 
+def test_sequences_are_written(spark, sf_dir, lib, tmp_path):
+    """The written lists hold every document's ids, whole, where their pieces say."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    packing.write_sequences(docs, str(tmp_path / "s"), size=512)
+    got, ids = packing.read_sequences(spark, str(tmp_path / "s")).collect(), {}
+    assert len({r.sequence_id for r in got}) == len(got)
+    for r in got:
+        assert len(r.ids) == sum(p.length for p in r.pieces) <= 512
+        for p in r.pieces:
+            ids.setdefault(p.doc_id, {})[p.start] = r.ids[p.offset : p.offset + p.length]
+    for d, t in docs.collect():
+        assert sum((x for _, x in sorted(ids[d].items())), []) == lib.encode(t or "", add_special_tokens=False).ids + [1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 def test_plan_places_everything(h):
