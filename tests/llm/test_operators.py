@@ -225,18 +225,69 @@ def test_sampling(spark, edge):
     assert sampling.sample_segmentations(edge).count() >= 12 and sampling.sample_segmentations(edge.limit(0)).count() == 0
 
 
-def test_sampling_follows_the_distribution():
-    """The best of k perturbed paths is a sample: its frequencies are the paths' probabilities."""
+def all_paths(flat, node, head=(), weight=0.0):
+    """Every path of a lattice from a node, by brute force: (edges, log probability)."""
+    if node == 0:
+        yield head, weight
+        return
+    for e in range(flat.first[node], flat.first[node + 1]):
+        yield from all_paths(flat, int(flat.dest[e]), (*head, e), weight + float(flat.lp[e]))
+
+
+@pytest.mark.parametrize("text", ["cat", "a b", "no|t"])
+def test_sampling_law(text):
+    """Ordered samples without replacement: p(a) for the first, p(b) / (1 - p(a)) for the second after a; all in the end."""
     lat = sampling.Lattices(tokens.tokenizer_path(sampling.MODEL))
-    flat, roots = lat.build([lat.normalize("cat")])
-    rng = np.random.default_rng(3)
-    seen, prob = Counter(), {}
-    for _ in range(4000):
-        found, _ = sampling.sample_top_k(flat, roots[0], 1, rng)
-        seen[tuple(found[0][0])] += 1
-        prob[tuple(found[0][0])] = np.exp(found[0][1])
-    for path, p in prob.items():
-        assert abs(seen[path] / 4000 - p) < 0.03
+    flat, roots = lat.build([lat.normalize(text)])
+    prob = {(): 0.0}
+    for root in roots[0].tolist():
+        prob = {(*a, *b): p + q for a, p in prob.items() for b, q in all_paths(flat, root)}
+    prob = {a: np.exp(p) for a, p in prob.items()}
+    assert abs(sum(prob.values()) - 1) < 1e-9 and len(prob) > 3
+    n = 20_000
+    keys = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rounds, kappa = sampling.sample_top_k(flat, [roots[0]] * n, 2, keys)
+    pick = [[tuple(p.edges[a : a + m].tolist()) for a, m in zip(p.start, p.size)] for p in rounds]
+    assert np.allclose(np.exp(rounds[0].logp), [prob[x] for x in pick[0]]) and np.allclose(np.exp(rounds[1].logp), [prob[x] for x in pick[1]])
+    assert (rounds[0].value >= rounds[1].value).all() and (rounds[1].value >= kappa).all()
+    pairs = Counter(zip(*pick))
+    assert all(a != b for a, b in pairs)
+    for a, p in prob.items():
+        for b, q in prob.items():
+            want = p * q / (1 - p)
+            if a != b and want > 1e-4:
+                assert abs(pairs[a, b] / n - want) < 5 * np.sqrt(want / n) + 1e-4, (a, b)
+    # the inclusion score, weighted by whether a path is in, estimates 1 for each path
+    for a, p in prob.items():
+        if p > 0.05:
+            score = [-np.expm1(-np.exp(r.logp[i] - kappa[i])) for r, x in zip(rounds, pick) for i in range(n) if x[i] == a]
+            assert abs(sum(1 / x for x in score) / n - 1) < 0.1
+    if len(prob) < 200:
+        few, _ = sampling.sample_top_k(flat, [roots[0]] * 3, len(prob) + 5, keys[:3])
+        for d in range(3):
+            found = [tuple(p.edges[p.start[i] : p.start[i] + p.size[i]].tolist()) for p in few for i in np.flatnonzero(p.docs == d)]
+            assert len(found) == len(prob) and set(found) == set(prob)
+
+
+def test_sampling_query(spark, sf_dir):
+    """Two different segmentations of each text, both of which the library decodes to what its own normaliser makes of it."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_path(sampling.MODEL))
+    texts = texts_of(spark, sf_dir)
+    rows = QUERIES["op8_sentencepiece_sampling"](spark, sf_dir).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    assert set(by) == set(texts)
+    for d, x in by.items():
+        assert sorted(r.nth for r in x) == list(range(len(x))) and (len(x) == 2 or len(texts[d]) < 2)
+        assert len({r.ids_crc32 for r in x}) == len(x) and all(0 < r.inclusion <= 1 for r in x)
+    docs = spark.createDataFrame([(d, t) for d, t in list(texts.items())[:60]], "doc_id long, text string")
+    for r in sampling.sample_segmentations(docs).collect():
+        (own,) = [x for x in by[r.doc_id] if x.nth == r.nth]
+        assert (own.n_tokens, own.ids_crc32) == (len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
+        assert sp.decode(list(r.ids)) == sp.decode(sp.encode(texts[r.doc_id])) and own.round_trip == (sp.decode(list(r.ids)) == texts[r.doc_id])
 
 
 def test_embeddings_edges(spark):
