@@ -32,6 +32,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 #: The runs of an ASCII chunk in lower case that the tokenizer merges each for itself.
 _RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^0-9a-z]+")
+#: An upper-case letter that may compose with what follows it. The tokenizer composes before it lowers, and some marks
+#: compose with one case only.
+_MARKED = re.compile(rb"[A-Z][\x80-\xff]")
 #: Sentence signs, which often end a chunk.
 _SIGNS = ".,;:!?"
 
@@ -109,9 +112,11 @@ class Encoder:
             self.start, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.seen))
 
     def _chunks(self, text: bytes) -> list[bytes]:
-        return text.lower().split()
+        return text.split() if _MARKED.search(text) else text.lower().split()
 
     def _word(self, chunk: bytes) -> list[int]:
+        if chunk.isascii():
+            chunk = chunk.lower()
         if not chunk.isalpha():
             w = chunk.decode()
             if chunk.isascii() and w.isprintable():
@@ -202,7 +207,8 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str | None = None,
     without rows. encoding: "dictionary", or "delta" for delta-packed ids.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # by the text's hash too, so that rows of one id may fill several ranges
+    ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     encoded = ranged.mapInArrow(_encode_rows(tokenizer or tokenizer_path(), end_id), "doc_id long, part int, part_start long, n_tokens long, ids array<int>")
     writer = encoded.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows)
     if encoding == "delta":

@@ -1,3 +1,5 @@
+import string
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,6 +33,24 @@ def test_encoder_matches_library(text):
     assert isinstance(enc.lib, Tokenizer)
 
 
+def test_encoder_marks(lib):
+    """Every combining mark after every ASCII letter: the library composes before it lowers."""
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    marks = [chr(c) for c in range(0x300, 0x110000) if unicodedata.category(chr(c)).startswith("M")]
+    texts = [f"{a}{m} x{a}{m}{a}" for a in string.ascii_letters for m in marks]
+    want = lib.encode_batch(texts, add_special_tokens=False)
+    bad = [t for t, w, got in zip(texts, want, enc.encode(texts)) if got.tolist() != w.ids]
+    assert not bad, (len(bad), bad[:5])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=60), max_size=5))
+def test_encoder_random_documents(parts):
+    text = " Text\u030a Ŷ ".join(parts)
+    enc = tokens.encoder(tokens.tokenizer_path())
+    assert enc.encode([text])[0].tolist() == enc.lib.encode(text, add_special_tokens=False).ids
+
+
 def test_op6_brute(spark, sf_dir, lib):
     docs = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     want, at = [], 0
