@@ -15,7 +15,6 @@ depend on what else is in the batch.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from functools import lru_cache
 
@@ -30,15 +29,37 @@ from .common import mix, table
 from .tokens import in_small_batches, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
-_CHUNK = re.compile("▁+[^▁]*|[^▁]+")
+_SPACE_MARK = ord("▁")
 
 
-class _Words(dict):
-    """Word -> its number, in order of first sight."""
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of the different words in a row, their sizes, words of all texts in a row by number, words of each text).
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
+    A word is a run of space marks and what follows up to the next one. Words are told apart by 64-bit hashes, and each
+    is compared with the first of its hash.
+    """
+    chars = np.array([len(t) for t in texts], np.int64)
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(cp):
+        return cp.astype(np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    mark = cp == _SPACE_MARK
+    begin = mark.copy()
+    begin[1:] &= ~mark[:-1]
+    first = (np.cumsum(chars) - chars)[chars > 0]
+    begin[first] = True
+    start = np.flatnonzero(begin)
+    size = np.diff(np.r_[start, len(cp)])
+    per_text = np.zeros(len(texts), np.int64)
+    per_text[chars > 0] = np.diff(np.r_[np.searchsorted(start, first), len(start)])
+    place = np.arange(len(cp)) - np.repeat(start, size)
+    for seed in range(8):
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(int(size.max()) + 1, _BASE, np.uint64))
+            h = mix(np.add.reduceat(mix(cp + np.uint64(seed << 32)) * power[place], start) + size.astype(np.uint64))
+        _, one, number = np.unique(h, return_index=True, return_inverse=True)
+        if (size == size[one][number]).all() and (cp == cp[_ranges(start[one][number], size)]).all():
+            return cp[_ranges(start[one], size[one])].astype(np.uint64), size[one], number, per_text
+    raise ValueError("words with equal hashes")
 
 
 class Table:
@@ -120,15 +141,12 @@ class Lattices:
 
     def build(self, texts: list[str]) -> tuple[Flat, list[np.ndarray]]:
         """(lattices of all words of the texts, each text's words as their first nodes)."""
-        of = _Words()
-        where = [np.fromiter(map(of.__getitem__, found), np.int64, len(found)) for found in map(_CHUNK.findall, texts)]
-        size = np.fromiter(map(len, of), np.int64, len(of))
-        cp = np.frombuffer("".join(of).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        cp, size, number, per_text = _words(texts)
         left = np.repeat(np.cumsum(size), size) - np.arange(len(cp))  # characters to the word's end
         order = np.argsort(left.astype(np.int16) if len(left) and left.max() < 1 << 15 else left, kind="stable")
         node = np.empty(len(cp), np.int32)
         node[order] = np.arange(1, len(cp) + 1, dtype=np.int32)
-        root = node[np.cumsum(size) - size]
+        root = node[np.cumsum(size) - size] if len(size) else np.zeros(0, np.int32)
         # edges of each length: characters whose text of that length is a piece, while it is a piece's beginning
         at, h, found = np.arange(len(cp)), np.zeros(len(cp), np.uint64), []
         single = np.zeros(len(cp), bool)
@@ -172,7 +190,7 @@ class Lattices:
             top = np.maximum.reduceat(v, own)
             beta[a:z] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(first[a : z + 1]))), own))
             value[i:j] = v
-        return Flat(first, source, dest, piece, value - beta[source]), [root[x] for x in where]
+        return Flat(first, source, dest, piece, value - beta[source]), np.split(root[number], np.cumsum(per_text)[:-1])
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
