@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts define it.
@@ -16,10 +16,15 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or (unset, as in tests) one under the warehouse."""
+    """The folder all executors see: spark.checkpoint.dir, or (unset, as in tests) one under the warehouse.
+
+    A cluster whose setting is missing and whose warehouse is a local folder of the driver is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if not spark.sparkContext.master.startswith("local") and (at.startswith(("file:", "/")) or "://" not in at):
+            raise ValueError("spark.checkpoint.dir is not set, and the warehouse is a local folder")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -78,6 +83,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def offsets_of(sizes: DataFrame, key: str, n: str, name: str, chunk: int = 10_000) -> DataFrame:
+    """(key, name): the sum of n over all smaller keys, which are distinct whole numbers from 0, in two levels.
+
+    One task sees one chunk of keys, or one row a chunk.
+    """
+    own = sizes.select(F.col(key), F.col(n).alias("__n"), F.floor(F.col(key) / chunk).alias("__chunk"))
+    totals = own.groupBy("__chunk").agg(F.sum("__n").alias("__t"))
+    before = totals.select("__chunk", (F.sum("__t").over(Window.orderBy("__chunk")) - F.col("__t")).alias("__b"))
+    local = F.sum("__n").over(Window.partitionBy("__chunk").orderBy(key)) - F.col("__n")
+    return own.withColumn("__l", local).join(before, "__chunk").select(key, (F.col("__b") + F.col("__l")).alias(name))
+
+
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 

@@ -1,9 +1,11 @@
 """Global shuffle into shards: two passes, native expressions only.
 
 write_shards() moves the records. Pass 1 scatters whole records over buckets of a few MB by a seeded hash of what they
-carry; pass 2 orders each bucket by another seeded hash and writes its records straight to their shards. The place of a
+carry; pass 2 orders each bucket by another seeded hash, which is a uniform permutation as Fisher-Yates' is, but one that
+depends on the seed and the records alone, not on tasks, and writes its records straight to their shards. The place of a
 record in the whole order is its bucket's offset plus its place in the bucket, and records are dealt to shards round
-robin, so shard sizes differ by one at most (law `rows`). Records cross the network once.
+robin, so shard sizes differ by one at most (law `rows`). Records cross the network once. Copies of a record that is
+common are numbered first, and the number is hashed with it, so no bucket holds them all.
 
 assign_shards() gives places alone, from an id and a few numbers.
 """
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import keep, new_path, table
+from .common import forget, keep, new_path, offsets_of, table
 
 #: Records a bucket holds on average: some tens of bytes each, so a bucket is a few hundred kB wherever it is shuffled.
 BUCKET_ROWS = 4096
@@ -37,15 +39,14 @@ def assign_shards(docs: DataFrame, carried: list[str], n_shards: int = 8, seed:
     n = max(1, -(-docs.count() // bucket_rows))
     record = [*carried, "copy"]
     bucket = F.pmod(F.xxhash64(F.lit(seed), *record), F.lit(n)).cast("long")
-    each = rows.withColumn("bucket", bucket).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct(*record))).alias("members"))
-    # the written table fixes the permutation: whatever is recomputed later reads the same one
-    dealt = keep(each.select("bucket", F.shuffle("members", F.lit(seed)).alias("members")), "shuffled")
+    drawn = F.xxhash64(F.lit(seed + 1), *record).alias("__drawn")
+    each = rows.withColumn("bucket", bucket).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct(drawn, *record))).alias("members"))
+    dealt = keep(each, "shuffled")
     sizes = dealt.select("bucket", F.size("members").alias("n"))
-    # one row a bucket
-    before = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
+    before = offsets_of(sizes, "bucket", "n", "before")
     at = dealt.join(before, "bucket").select("before", F.posexplode("members").alias("pos", "m"))
     place = F.col("before") + F.col("pos")
-    return at.select("m.*", (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))
+    return at.select(*[f"m.{c}" for c in record], (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))
 
 
 def _bytes(docs: DataFrame):
@@ -56,23 +57,45 @@ def _bytes(docs: DataFrame):
     return F.expr(" + ".join(f"coalesce({x}, 0)" for x in sizes)).cast("long")
 
 
+#: A record is common if it is more than this share of all rows, so there are no more common ones than its inverse.
+COMMON = 1 / 1000
+
+
+def _copies_numbered(records: DataFrame, key, n_rows: int, name: str) -> DataFrame:
+    """records with a number of the copy: 0, 1, ... for rows of common records, 0 for all others."""
+    most = max(1000, int(n_rows * COMMON))
+    hot = [r[0] for r in records.groupBy(key.alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("k").collect()]  # 1 / COMMON at most
+    if not hot:
+        return records.withColumn(name, F.lit(0).cast("long"))
+    is_hot = key.isin(hot)
+    groups = records.where(is_hot).groupBy(*[F.col(f"`{c}`") for c in records.columns]).agg(F.count("*").alias("__n"))
+    runs = groups.withColumn("__from", F.explode(F.expr(f"sequence(0L, __n - 1, {_RUN}L)")))
+    # runs of one record go to different tasks before they become rows
+    runs = runs.repartition(F.xxhash64("__from", *[F.col(f"`{c}`") for c in records.columns]))
+    copies = runs.withColumn(name, F.explode(F.expr(f"sequence(__from, least(__from + {_RUN}, __n) - 1)"))).drop("__n", "__from")
+    return records.where(~is_hot).withColumn(name, F.lit(0).cast("long")).unionByName(copies)
+
+
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Writes docs, in shuffled order, below path/shard=K. Columns shard and slot are added; clashing ones are replaced.
 
-    Slots are gapless from 0 in each shard, and each file is in their order. Rows alike in all columns share a bucket.
+    Slots are gapless from 0 in each shard, and each file is in their order. The order depends on the seed and the rows,
+    not on partitions. Rows alike in all columns each get a place; nulls count as values; an empty table gives no files
+    with rows.
     """
     own = [c for c in docs.columns if c not in ("shard", "slot")]
-    records = docs.select(*own)
-    drawn = lambda s: F.xxhash64(F.lit(s), *[F.col(f"`{c}`") for c in own])
-    total = records.agg(F.sum(_bytes(records)).alias("n")).first()["n"] or 0
-    bucketed = records.withColumn("__bucket", F.pmod(drawn(seed), F.lit(max(1, -(-total // bucket_bytes)))).cast("long"))
+    records = docs.select(*[F.col(f"`{c}`") for c in own])
+    drawn = lambda s, *more: F.xxhash64(F.lit(s), *[F.col(f"`{c}`") for c in own], *more)
+    rows, total = records.agg(F.count("*"), F.coalesce(F.sum(_bytes(records)), F.lit(0).cast('long'))).first()
+    each = _copies_numbered(records, drawn(seed + 2), rows, "__copy")
+    bucketed = each.withColumn("__bucket", F.pmod(drawn(seed, "__copy"), F.lit(max(1, -(-total // bucket_bytes)))).cast("long"))
     sizes = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    # one row a bucket
-    before = keep(sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before")), "buckets")
-    mixed = bucketed.withColumn("__pos", F.row_number().over(Window.partitionBy("__bucket").orderBy(drawn(seed + 1))) - 1)
+    before = keep(offsets_of(sizes, "__bucket", "__n", "__before"), "buckets")
+    mixed = bucketed.withColumn("__pos", F.row_number().over(Window.partitionBy("__bucket").orderBy(drawn(seed + 1, "__copy"))) - 1)
     place = F.col("__before") + F.col("__pos")
-    dealt = mixed.join(F.broadcast(before), "__bucket").select(*own, (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))
+    dealt = mixed.join(before, "__bucket").select(*[F.col(f"`{c}`") for c in own], (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))
     dealt.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    forget(before)
 
 
 def read_shards(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -113,6 +113,29 @@ def test_sharding_reads_back_what_was_written(spark, sf_dir, edge, tmp_path, mon
     assert sharding.read_shards(spark, str(tmp_path / "e"), edge.schema).count() == 0
 
 
+def test_sharding_is_a_function_of_the_seed(spark, sf_dir, tmp_path):
+    """The same places under other partitionings; copies of one record, most of all rows, fall in many buckets."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    places = []
+    for n in (1, 5):
+        at = str(tmp_path / f"p{n}")
+        sharding.write_shards(docs.repartition(n), at, 3, bucket_bytes=20_000)
+        places.append(sorted((r.doc_id, r.shard, r.slot) for r in sharding.read_shards(spark, at, docs.schema).collect()))
+    assert places[0] == places[1]
+    sharding.write_shards(docs, str(tmp_path / "other"), 3, seed=99, bucket_bytes=20_000)
+    other = sorted((r.doc_id, r.shard, r.slot) for r in sharding.read_shards(spark, str(tmp_path / "other"), docs.schema).collect())
+    assert sum(a == b for a, b in zip(places[0], other)) < len(other) / 10
+    a, b = (sorted(map(tuple, sharding.assign_shards(docs.repartition(n).select("doc_id"), ["doc_id"], 3, bucket_rows=16).collect())) for n in (1, 5))
+    assert a == b
+    many = spark.range(6000).selectExpr("if(id < 4000, 1, id) as doc_id", "if(id < 4000, 'copy', 'own') as text")
+    assert sharding._copies_numbered(many, F.xxhash64("doc_id"), 6000, "c").where("text = 'copy'").select("c").distinct().count() == 4000
+    sharding.write_shards(many, str(tmp_path / "m"), 4, bucket_bytes=2000)
+    back = sharding.read_shards(spark, str(tmp_path / "m"), many.schema)
+    assert back.drop("shard", "slot").exceptAll(many).count() == 0 and back.count() == 6000
+    by = Counter((r.shard, r.text) for r in back.collect())
+    assert all(abs(by[k, "copy"] - 1000) < 150 for k in range(4))
+
+
 def brute_base(text):
     words = WORD.findall(text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
