@@ -97,16 +97,23 @@ def context(df: DataFrame, match: Column | str, order: str, before: int = 0, aft
     hit = F.coalesce(_expr(match), F.lit(False))
     if by:
         return _mark(df.withColumn("__hit", hit), Window.partitionBy(*by).orderBy(order), before, after)
-    # matches are spread to the rows they cover by row number; numbers come from two levels
+    spread = _overlapping(df.withColumn("__hit", hit), order, before + after, before + after)
+    marked = _mark(spread, Window.partitionBy("__in").orderBy("__n"), before, after, keep_all=True)
+    return marked.where(F.col("__own") == F.col("__in")).where("context_type is not null").drop("__own", "__in", "__n")
+
+
+def _overlapping(df: DataFrame, order: str, before: int, after: int) -> DataFrame:
+    """df with row numbers __n in stretches __own, each row also in the stretches (__in) that reach back or on to it.
+
+    A window of so many rows before and after is then whole inside a stretch, and no task holds the stream.
+    """
     from ..sources.lines import running_sum
 
-    numbered = running_sum(df.withColumn("__hit", hit), F.lit(1).cast("long"), order, "__n")
+    numbered = running_sum(df, F.lit(1).cast("long"), order, "__n")
     size = max(10_000, 4 * (before + after + 1))
-    part = F.floor(F.col("__n") / size)
-    reach = F.array_distinct(F.array(F.floor((F.col("__n") - after - before) / size), part, F.floor((F.col("__n") + after + before) / size)))
-    spread = numbered.withColumn("__own", part).withColumn("__in", F.explode(reach))
-    marked = _mark(spread, Window.partitionBy("__in").orderBy("__n"), before, after, keep_all=True)
-    return marked.where(F.col("__own") == F.col("__in")).where("context_type is not null").drop("__own", "__in", "__n")
+    own = F.floor(F.col("__n") / size)
+    reach = F.array_distinct(F.array(F.floor((F.col("__n") - after) / size), own, F.floor((F.col("__n") + before) / size)))
+    return numbered.withColumn("__own", own).withColumn("__in", F.explode(reach))
 
 
 def _mark(df: DataFrame, w, before: int, after: int, keep_all: bool = False) -> DataFrame:
@@ -118,6 +125,14 @@ def _mark(df: DataFrame, w, before: int, after: int, keep_all: bool = False) ->
     return out if keep_all else out.where("context_type is not null")
 
 
+def level_context(df: DataFrame, order: str, before: int = 0, after: int = 0, include: list[str] | None = None, exclude: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Events of the levels and their neighbours of any level, as context() gives them."""
+    level = F.lower(canonical(df, LEVEL_NAMES))
+    out = F.coalesce(level.isin([x.lower() for x in exclude]), F.lit(False)) if exclude else F.lit(False)
+    inside = F.coalesce(level.isin([x.lower() for x in include]), F.lit(False)) if include else F.lit(True)
+    return context(df, inside & ~out, order, before, after, by)
+
+
 def normalize_ts(df: DataFrame, field: str, parsed: Column) -> DataFrame:
     """field rewritten as RFC 3339 in UTC where it could be read."""
     return df.withColumn(field, F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), F.col(field).cast("string")))
@@ -148,6 +163,31 @@ def lookup(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     return df.join(table.dropDuplicates(on), on, "left")
 
 
+def only_in(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose keys another table has; each row once."""
+    return df.join(table.select(*on), on, "left_semi")
+
+
+def without(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose keys another table lacks; rows with a null key stay."""
+    return df.join(table.select(*on), on, "left_anti")
+
+
+def as_of(df: DataFrame, other: DataFrame, ts: str, other_ts: str, on: list[str], take: dict[str, str], order: str, tie: str) -> DataFrame:
+    """df with columns of other's last row, by its time and then tie, at or before each row's time; take: new name -> other's column.
+
+    Both sides are one stream by key and time in which the last of other's rows is carried on: one shuffle by key, no
+    join, no pairs. Rows of df come back each, null where other has none. A key's rows are one task's; the window spills.
+    """
+    found = F.struct(*[F.col(f"`{c}`").alias(n) for n, c in take.items()])
+    kinds = {f.name: f.dataType for f in other.select(found.alias("s")).schema["s"].dataType}
+    a = df.select(*on, F.col(ts).cast("timestamp").alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(other.schema[tie].dataType).alias("__tie"), F.lit(None).cast(other.select(found.alias("s")).schema["s"].dataType).alias("__found"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+    b = other.select(*on, F.col(other_ts).cast("timestamp").alias("__at"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), found.alias("__found"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"))
+    w = Window.partitionBy(*on).orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = a.unionByName(b).withColumn("__last", F.last("__found", ignorenulls=True).over(w)).where("__side = 1")
+    return carried.select("__row.*", *[F.col(f"__last.{n}").alias(n) for n in kinds])
+
+
 def sample_every(df: DataFrame, n: int, order: str) -> DataFrame:
     """The nth, 2nth, ... row by the order, numbered in two levels."""
     from ..sources.lines import running_sum
@@ -156,13 +196,25 @@ def sample_every(df: DataFrame, n: int, order: str) -> DataFrame:
 
 
 def window_values(df: DataFrame, order: str, n: int, fields: list[str], by: list[str] | None = None, name: str = "window") -> DataFrame:
-    """An array of the current and the n earlier rows' fields, the current first. by splits the stream."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(order).rowsBetween(-n, 0)
-    return df.withColumn(name, F.reverse(F.collect_list(F.struct(*fields)).over(w)))
+    """An array of the current and the n earlier rows' fields, the current first. by splits the stream.
+
+    Without by the stream is cut into stretches that overlap by n rows.
+    """
+    items = F.collect_list(F.struct(*fields))
+    if by:
+        return df.withColumn(name, F.reverse(items.over(Window.partitionBy(*by).orderBy(order).rowsBetween(-n, 0))))
+    spread = _overlapping(df, order, n, 0)
+    out = spread.withColumn(name, F.reverse(items.over(Window.partitionBy("__in").orderBy("__n").rowsBetween(-n, 0))))
+    return out.where(F.col("__own") == F.col("__in")).drop("__own", "__in", "__n")
 
 
 def mark_gaps(df: DataFrame, ts: str, order: str, seconds: float, by: list[str] | None = None) -> DataFrame:
-    """gap_us where the step from the last timestamp, in either direction, is at least the duration."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    step = F.abs(micros(ts) - micros(F.last(ts, ignorenulls=True).over(w)))
-    return df.withColumn("gap_us", F.when(step >= int(seconds * 1e6), step))
+    """gap_us where the step from the last timestamp, in either direction, is at least the duration.
+
+    Without by the last timestamp is carried over parts of the order.
+    """
+    from .spans import before_last
+
+    out = before_last(df, order, "__last", micros(ts), by or ())
+    step = F.abs(micros(ts) - F.col("__last"))
+    return out.withColumn("gap_us", F.when(step >= int(seconds * 1e6), step)).drop("__last")

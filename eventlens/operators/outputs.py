@@ -44,11 +44,39 @@ def as_logfmt(df: DataFrame) -> Column:
     return F.concat_ws(" ", *[F.when(F.col(c).isNotNull(), F.concat(logfmt_key(F.lit(c)), F.lit("="), logfmt_value(_text(df, c)))) for c in ordered_fields(df)])
 
 
+def _flat_cells(x: Column, kind, path: str = "") -> list[Column]:
+    """(path, text) of each scalar inside a value of a declared shape; steps are joined by underscores."""
+    from pyspark.sql import types as T
+
+    step = lambda k: f"{path}_{k}" if path else str(k)
+    if isinstance(kind, T.StructType):
+        return [c for f in kind.fields for c in _flat_cells(x[f.name], f.dataType, step(f.name))]
+    pair = lambda k, v: F.struct(k.alias("k"), v.cast("string").alias("v"))
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType if isinstance(kind, T.MapType) else None
+    lead = F.lit(f"{path}_" if path else "")
+    text = (lambda v: F.to_json(v)) if isinstance(inner, (T.StructType, T.ArrayType, T.MapType)) else (lambda v: v.cast("string"))
+    if isinstance(kind, T.ArrayType):
+        return [F.transform(x, lambda v, i: pair(F.concat(lead, i.cast("string")), text(v)))]
+    if isinstance(kind, T.MapType):
+        return [F.transform(F.map_entries(x), lambda e: pair(F.concat(lead, e["key"]), text(e["value"])))]
+    return [F.array(pair(F.lit(path), x))]
+
+
+def nested_cell(df: DataFrame, c: str) -> Column:
+    """A nested value as k:v pairs with commas between, nulls left out; an empty one is empty."""
+    parts = _flat_cells(F.col(f"`{c}`"), df.schema[c].dataType)
+    pairs = F.filter(F.concat(*parts) if len(parts) > 1 else parts[0], lambda e: e["v"].isNotNull())
+    return F.array_join(F.transform(pairs, lambda e: F.concat(e["k"], F.lit(":"), e["v"])), ",")
+
+
 def as_csv(df: DataFrame, keys: list[str], sep: str = ",") -> Column:
-    """Fields quoted where they must be; nulls are empty."""
+    """Fields quoted where they must be: empty ones, those with the separator, quotes or line ends, or blanks at an end. Nulls are bare."""
     def one(c):
-        v = F.coalesce(_text(df, c), F.lit("")) if c in df.columns else F.lit("")
-        return F.when(v.rlike(rf'["\r\n{sep}]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+        if c not in df.columns:
+            return F.lit("")
+        v = nested_cell(df, c) if _is_nested(dict(df.dtypes)[c]) else F.col(f"`{c}`").cast("string")
+        quoted = F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.coalesce(F.when((v == "") | v.rlike(rf'["\r\n{sep}]|^ | $'), quoted).otherwise(v), F.lit(""))
 
     # concat_ws keeps empty strings and leaves out nulls only
     return F.concat_ws(sep, *[one(c) for c in keys])
@@ -75,14 +103,22 @@ def levelmap(df: DataFrame, order: str, width: int = 80, ts: str | None = None)
     return _chart(df, F.coalesce(F.nullif(F.left(level, F.lit(1)), F.lit("")), F.lit("?")), order, width, F.col(ts).cast("string") if ts else None)
 
 
+def hide(df: DataFrame) -> DataFrame:
+    """No output: the steps run, no row is left."""
+    return df.where(F.lit(False))
+
+
 def keymap(df: DataFrame, field: str, order: str, width: int = 80) -> DataFrame:
     return _chart(df, F.coalesce(F.nullif(F.left(F.col(field).cast("string"), F.lit(1)), F.lit("")), F.lit(".")), order, width)
 
 
-def tailmap(df: DataFrame, field: str, order: str, width: int = 80) -> DataFrame:
-    """_ under the 90th percentile, 1 from it, 2 from the 95th, 3 from the 99th, . for none."""
-    x = F.col(field).try_cast("double")
-    cuts = df.agg(F.percentile(x, F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99))).alias("__q"))
+def tailmap(df: DataFrame, field: str, order: str, width: int = 80, exact: bool = False) -> DataFrame:
+    """_ under the 90th percentile, 1 from it, 2 from the 95th, 3 from the 99th, . for none.
+
+    Percentiles are a sketch's, to a ten-thousandth of the ranks; exact ones hold every distinct value in one buffer.
+    """
+    x, ps = F.col(field).try_cast("double"), F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99))
+    cuts = df.agg((F.percentile(x, ps) if exact else F.percentile_approx(x, ps, 10_000)).alias("__q"))
     both = df.crossJoin(F.broadcast(cuts))  # one row
     q = F.col("__q")
     mark = F.when(x.isNull(), ".").when(x < q[0], "_").when(x < q[1], "1").when(x < q[2], "2").otherwise("3")

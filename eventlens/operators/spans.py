@@ -10,35 +10,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.datetime import micros
-from ..sources.lines import PART, running_sum
+from ..sources.lines import parts, running_sum
 
 
-def _carried(df: DataFrame, order: str, name: str, value: Column, by: list[str], pick, last: bool, part: int = PART) -> DataFrame:
+def _carried(df: DataFrame, order: str, name: str, value: Column, by: list[str], pick, last: bool, cut=None) -> DataFrame:
     """df with pick (a max or a last value) of value over the rows before each one, in two levels."""
-    cut = df.withColumn("__v", value).withColumn("__part", F.floor(F.col(order) / part))
+    cut = cut or parts(df, order)
+    own = cut(df.withColumn("__v", value))
     local = pick("__v").over(Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    if last:
-        ends = cut.where("__v is not null").groupBy(*by, "__part").agg(F.max_by("__v", order).alias("__t"))
+    ends = own.groupBy(*by, "__part").agg((F.max_by(F.when(F.col("__v").isNotNull(), F.col("__v")), F.when(F.col("__v").isNotNull(), F.col(order))) if last else F.max("__v")).alias("__t"))
+    before = ends.withColumn("__before", pick("__t").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).drop("__t")
+    if by:
+        null_safe = before.select(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], F.col("__part").alias("__p"), "__before")
+        on = F.col("__part") == F.col("__p")
+        for i, b in enumerate(by):
+            on = on & F.col(b).eqNullSafe(F.col(f"__by{i}"))
+        joined = own.withColumn("__local", local).join(null_safe, on).drop("__p", *[f"__by{i}" for i in range(len(by))])
     else:
-        ends = cut.groupBy(*by, "__part").agg(F.max("__v").alias("__t"))
-    parts = cut.select(*by, "__part").distinct().join(ends, [*by, "__part"], "left")
-    before = parts.withColumn("__before", pick("__t").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).drop("__t")
-    joined = cut.withColumn("__local", local).join(before, [*by, "__part"])
+        # one row a part
+        joined = own.withColumn("__local", local).join(F.broadcast(before), "__part")
     both = F.coalesce("__local", "__before") if last else F.greatest("__local", "__before")
     return joined.withColumn(name, both).drop("__v", "__part", "__local", "__before")
 
 
-def before_max(df, order, name, value, by=()):
-    return _carried(df, order, name, value, list(by), F.max, False)
+def before_max(df, order, name, value, by=(), cut=None):
+    return _carried(df, order, name, value, list(by), F.max, False, cut)
 
 
-def before_last(df, order, name, value, by=()):
-    return _carried(df, order, name, value, list(by), lambda c: F.last(c, ignorenulls=True), True)
+def before_last(df, order, name, value, by=(), cut=None):
+    return _carried(df, order, name, value, list(by), lambda c: F.last(c, ignorenulls=True), True, cut)
 
 
-def _running(df: DataFrame, value: Column, order: str, name: str, by: list[str]) -> DataFrame:
+def _running(df: DataFrame, value: Column, order: str, name: str, by: list[str], cut=None) -> DataFrame:
     if not by:
-        return running_sum(df, value, order, name)
+        return running_sum(df, value, order, name, cut)
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(order)))
 
 
@@ -71,19 +76,21 @@ def _micros(duration: str) -> int:
 
 def field_spans(df: DataFrame, field: str, order: str, by=()) -> DataFrame:
     """A new span whenever the value changes; an event without the field goes on with the open span, (unset) before any."""
-    out = before_last(df, order, "__prev", F.col(field).cast("string"), by)
+    cut = parts(df, order)
+    out = before_last(df, order, "__prev", F.col(field).cast("string"), by, cut)
     value = F.coalesce(F.col(field).cast("string"), F.col("__prev"), F.lit("(unset)"))
     seen = F.coalesce(F.col("__prev"), F.lit("(unset)"))
     out = out.withColumn("__value", value).withColumn("__new", F.when(F.col(field).isNotNull() & (F.col("__prev").isNull() | (value != seen)), 1).otherwise(0).cast("long"))
-    out = _running(out, F.col("__new"), order, "span_no", list(by))
+    out = _running(out, F.col("__new"), order, "span_no", list(by), cut)
     return out.withColumn("span_id", F.concat(F.lit("#"), F.col("span_no").cast("string"), F.lit("-"), F.col("__value"))).withColumn("span_value", F.col("__value")).drop("__prev", "__value", "__new")
 
 
 def idle_spans(df: DataFrame, ts: str, order: str, seconds: float, by=()) -> DataFrame:
     """A new span when an event comes more than the timeout after the latest timestamp so far; late ones join the open span."""
-    out = before_max(df, order, "__top", micros(ts), by)
+    cut = parts(df, order)
+    out = before_max(df, order, "__top", micros(ts), by, cut)
     new = micros(ts).isNotNull() & (F.col("__top").isNull() | (micros(ts) - F.col("__top") > int(seconds * 1e6)))
-    out = _running(out.withColumn("__new", new.cast("long")), F.col("__new"), order, "span_no", list(by))
+    out = _running(out.withColumn("__new", new.cast("long")), F.col("__new"), order, "span_no", list(by), cut)
     return out.withColumn("span_id", F.when(F.col(ts).isNotNull(), F.concat(F.lit("idle-#"), F.col("span_no").cast("string")))).drop("__top", "__new")
 
 

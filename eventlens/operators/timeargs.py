@@ -31,7 +31,7 @@ def resolve(text: str, now: datetime, tz: str = "UTC", since: datetime | None =
     names = {"now": now, "today": today, "yesterday": today - timedelta(days=1), "tomorrow": today + timedelta(days=1)}
     if low in names:
         return names[low].astimezone(UTC)
-    if m := re.fullmatch(r"([+-]?)\s*(\d.*[a-z])(?:\s+ago)?", low):
+    if m := re.fullmatch(r"([+-]?)\s*(\d.*?[a-z])(?:\s+ago)?", low):
         try:
             delta = timedelta(seconds=seconds(m[2]))
             return now + delta if m[1] == "+" else now - delta

@@ -10,6 +10,7 @@ from ..functions import datetime as D
 from ..functions import encode as N
 from ..functions import extract as X
 from ..functions import maps as M
+from ..functions import masks as MK
 from ..functions import mathx as MX
 from ..functions import strings as S
 from ..operators import drain as DR
@@ -407,7 +408,7 @@ def output_keymap(spark, sf_dir):
 n AS (SELECT event_id, CASE WHEN value IS NULL THEN '.' WHEN value < a THEN '_' WHEN value < b THEN '1' WHEN value < c THEN '2' ELSE '3' END AS m, (row_number() OVER (ORDER BY event_id) - 1) // 80 AS line FROM events, q)
 SELECT line, string_agg(m, '' ORDER BY event_id) AS text FROM n GROUP BY 1""")
 def output_tailmap(spark, sf_dir):
-    return O.tailmap(events(spark, sf_dir), "value", "event_id").select("line", "text")
+    return O.tailmap(events(spark, sf_dir), "value", "event_id", exact=True).select("line", "text")
 
 
 # functions ---------------------------------------------------------------------------------------------------------------
@@ -474,4 +475,7 @@ def number_functions(spark, sf_dir):
 @query("SELECT event_id, 'user <ipv4> sent <email> at <uuid>' AS text FROM events")
 def normalized_text(spark, sf_dir):
     line = F.concat(F.lit("user 10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(" sent a"), F.col("event_id").cast("string"), F.lit("@example.org at 0a1b2c3d-0000-4000-8000-0123456789ab"))
-    return events(spark, sf_dir).select("event_id", S.normalized(line).alias("text"))
+    return events(spark, sf_dir).select("event_id", MK.normalized(line).alias("text"))
+
+
+from . import queries_formats, queries_functions  # noqa: E402, F401  they register themselves
