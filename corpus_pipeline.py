@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm import linededup, neardup, packing, secrets, toxicity
-from eventlens.llm.common import keep, table
+from eventlens.llm.common import keep, table, unused
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5; the model is fitted on the labelled rows of sf_dir."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("__toxicity") < 0.5).select(*docs.columns)
+    name = unused(docs, "__toxicity")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

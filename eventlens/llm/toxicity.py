@@ -1,15 +1,19 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
 
-The gap-weighted subsequence kernel of order 3 compares a word with a landmark; letters inserted or left out cost a
-factor, not the match. Landmarks are strings mined from labelled texts. A document is its words' best similarity
-and their density of similarity to each landmark, mapped by the landmarks' inverse square-root kernel matrix, and a squared-hinge machine with a fitted sigmoid
-gives the score. A word is scored once a task and remembered; every word of every text counts.
+The gap-weighted subsequence kernel of order 3 compares two words by the letter triples they share, in order but not
+adjacent: each letter that a triple spans costs a factor, so inserted letters and letters left out weaken a match and
+don't end it. It is worked out exactly, for every word and every landmark, from the words' triples. Its normalised form,
+squared, is the kernel of the machine. Landmarks are strings mined from labelled texts; a word's Nystroem map is its
+kernel values against them times the inverse square root of theirs among themselves, so products of maps approximate the
+kernel. A text is the maxima and the mean of its words' maps, and a squared-hinge machine with a fitted sigmoid gives
+the score. A word is mapped once a task and remembered; every word of every text counts, whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -17,208 +21,279 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget, keep, table
 
-ORDER, DECAY, WIDTH = 3, np.float32(0.6), 24
-#: Weakest similarity that counts.
-FLOOR = 0.35
+DECAY = 0.6
+#: Letters of a window; longer words are taken in windows that overlap by half.
+WIDTH = 24
 #: Rows the classifier is fitted on at most: toxic and other ones.
 MOST_TOXIC, MOST_OTHER = 6000, 14_000
-MOST_LANDMARKS, CLEAN_LANDMARKS = 40, 4
+#: Landmarks at most; one for each LABELS_PER_LANDMARK toxic rows, and at least LEAST_LANDMARKS. Strings considered for them.
+MOST_LANDMARKS, LEAST_LANDMARKS, LABELS_PER_LANDMARK, CLEAN_LANDMARKS, CANDIDATES = 72, 36, 8, 6, 1500
+#: Words a task remembers.
+REMEMBERED = 300_000
 _LEET = str.maketrans("013457@$!|", "oieastasil")
+#: Three short words that begin with a letter in a row; words_of() looks closer.
+_SPACED = re.compile(r"(?<!\S)[^\W\d_]\S?(?:\s+[^\W\d_]\S?){2}(?!\S)")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
-def word_counts(text: str | None) -> Counter:
-    """The text's words, lower case, with their counts; a run of three spaced single letters or more is one more word."""
+def words_of(text: str | None) -> list[str]:
+    """The text's words in lower case; a run of three spaced single letters or more is one more word."""
     words = (text or "").lower().split()
-    count = Counter(words)
+    if not _SPACED.search(text or ""):
+        return words
     single = [i for i, w in enumerate(words) if len(w) <= 2 and w[0].isalpha() and not w[1:].isalpha()]
-    if len(single) > 2:
-        run = [single[0]]
-        for i in [*single[1:], -1]:
-            if i == run[-1] + 1:
-                run.append(i)
-                continue
-            if len(run) > 2:
-                count["".join(words[j][0] for j in run)] += 1
-            run = [i]
-    return count
+    run = single[:1]
+    for i in [*single[1:], -1]:
+        if run and i == run[-1] + 1:
+            run.append(i)
+            continue
+        if len(run) > 2:
+            words.append("".join(words[j][0] for j in run))
+        run = [i]
+    return words
 
 
 def letters(word: str) -> str:
     """A word as the kernel sees it: letters only, digits and signs that stand for letters put back, marked at its start."""
     inner = word.strip(".,;:!?\"'()[]{}")
+    if inner.isalpha():
+        return "^" + inner
     return "^" + _NO_LETTER.sub("", inner.translate(_LEET) if any(c.isalpha() for c in inner) else inner)
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    return np.array(words, f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
-
-
-def kernel(codes: np.ndarray, t: str) -> np.ndarray:
-    """K(word, t) for each row of codes (0 = padding)."""
-    t = np.array([t], f"U{len(t)}").view(np.uint32)
-    m, n = len(t), len(codes)
-    prev = [np.ones((m + 1, n), np.float32)] + [np.zeros((m + 1, n), np.float32) for _ in range(1, ORDER)]
-    total = np.zeros(n, np.float32)
-    top = int((codes != 0).sum(1).max()) if n else 0
-    sq = DECAY * DECAY
-    for pos in range(top):
-        eq = (codes[:, pos][None, :] == t[:, None]).astype(np.float32)
-        total += sq * (eq * prev[ORDER - 1][:-1]).sum(0)
-        for i in range(ORDER - 1, 0, -1):
-            row = np.zeros(n, np.float32)
-            hit = sq * eq * prev[i - 1][:-1]
-            prev[i][0] *= DECAY
-            for k in range(m):
-                row = DECAY * row + hit[k]
-                prev[i][k + 1] = DECAY * prev[i][k + 1] + row
-    return total
+def _by_length(words: list[str]):
+    """(which words, their code points) for each length of three letters or more."""
+    size = np.array([len(w) for w in words], np.int64)
+    cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = np.cumsum(size) - size
+    for length in np.unique(size[size >= 3]).tolist():
+        of = np.flatnonzero(size == length)
+        yield of, cp[start[of][:, None] + np.arange(length)]
 
 
-def _pairs(codes: np.ndarray, gap: bool) -> np.ndarray:
-    """128 bits of a word's letter pairs: neighbours, and with gap those one letter apart."""
-    out = np.zeros((len(codes), 2), np.uint64)
-    for d in (1, 2) if gap else (1,):
-        for i in range(WIDTH - d):
-            x, y = codes[:, i], codes[:, i + d]
-            h = (x * np.uint32(0x9E3779B1) + y * np.uint32(0x85EBCA77)) >> np.uint32(25)
-            bit = np.where(y == 0, np.uint64(0), np.uint64(1) << (h & np.uint32(63)).astype(np.uint64))
-            high = h >= 64
-            out[:, 0] |= np.where(high, np.uint64(0), bit)
-            out[:, 1] |= np.where(high, bit, np.uint64(0))
-    return out
+def _triples(length: int) -> tuple[np.ndarray, ...]:
+    """Places i < j < k of all triples of a word, and their weights."""
+    i, j, k = (np.array(x) for x in zip(*combinations(range(length), 3)))
+    return i, j, k, DECAY ** (k - i + 1)
 
 
-class Similarity:
-    """Similarity of words to the landmarks: K(word, t) / K(t, t), at most 1.
+def own_kernel(c: np.ndarray) -> np.ndarray:
+    """The kernel of each word with itself; rows of c are words of one length.
 
-    It is 0 below FLOOR, and where the word has less than half of t's neighbouring letter pairs with a gap of one at most.
+    It depends on which letters are equal alone, so each pattern of equal letters is worked out once.
     """
+    n, length = c.shape
+    if length > 15 or n < 2:
+        return _own_kernel(c)
+    pattern = np.zeros(n, np.int64)
+    for b in range(1, length):
+        first = np.full(n, b, np.int8)
+        for a in range(b - 1, -1, -1):
+            first[c[:, a] == c[:, b]] = a
+        pattern |= first.astype(np.int64) << (4 * b)
+    _, one, which = np.unique(pattern, return_index=True, return_inverse=True)
+    return _own_kernel(c[one])[which]
+
+
+def _own_kernel(c: np.ndarray) -> np.ndarray:
+    """M(a, b) sums matching subsequences that end at letters a and b, D(a, b) those that end before both, with their decay."""
+    n, length = c.shape
+    equal = {(a, b): (c[:, a] == c[:, b]).astype(np.float64) for a in range(length) for b in range(a, length)}
+    m = {ab: e * DECAY**2 for ab, e in equal.items()}
+    total = np.zeros(n)
+    zero = np.zeros(n)
+    for order in (2, 3):
+        d, new = {}, {}
+        at = lambda x, a, b: zero if min(a, b) < 0 else x[(a, b) if a <= b else (b, a)]  # noqa: E731  both are symmetric
+        for a in range(length):
+            for b in range(a, length):
+                d[a, b] = DECAY**2 * (at(m, a - 1, b - 1) - at(d, a - 1, b - 1)) + DECAY * (at(d, a - 1, b) + at(d, a, b - 1)) if a else zero
+                new[a, b] = equal[a, b] * d[a, b]
+        m = new
+    for (a, b), x in m.items():
+        total += x if a == b else 2 * x
+    return total
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
-        self.own = [float(kernel(_codes([t]), t)[0]) for t in landmarks]
-        self.pairs = _pairs(_codes(landmarks), False) if landmarks else np.zeros((0, 2), np.uint64)
-        self.cache: dict[str, np.ndarray | None] = {}
-
-    def matrix(self, words: list[str]) -> np.ndarray:
-        codes = _codes(words)
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        have = _pairs(codes, True)
-        for j, t in enumerate(self.landmarks):
-            need = int(np.ceil(0.5 * int(np.bitwise_count(self.pairs[j]).sum())))
-            rows = np.flatnonzero(np.bitwise_count(have & self.pairs[j]).sum(1) >= need)
-            if len(rows):
-                out[rows, j] = np.minimum(1, kernel(codes[rows], t) / self.own[j])
-        out[out < FLOOR] = 0
+
+class Landmarks:
+    """The triples of some words as a table: sorted codes, and for each the words that have it with their weights over their norms."""
+
+    FACTORS = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
+    SHIFT = np.uint32(14)
+
+    def __init__(self, words: list[str]):
+        self.n, code, word, weight = len(words), [], [], []
+        for of, c in _by_length(words):
+            i, j, k, w = _triples(c.shape[1])
+            code.append(((c[:, i].astype(np.int64) << 42) | (c[:, j].astype(np.int64) << 21) | c[:, k]).ravel())
+            word.append(np.repeat(of, len(i)))
+            weight.append((w / np.sqrt(own_kernel(c))[:, None]).ravel())
+        code, self.word, self.weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (code, word, weight))
+        order = np.argsort(code, kind="stable")
+        self.word, self.weight = self.word[order], self.weight[order]
+        self.code, self.first, self.size = np.unique(code[order], return_index=True, return_counts=True)
+        # numbers of 18 bits: most triples that no landmark has are told by them
+        self.seen = np.zeros(1 << 18, bool)
+        letters_ = [((self.code >> shift) & 0x1FFFFF).astype(np.uint32) for shift in (42, 21, 0)]
+        with np.errstate(over="ignore"):
+            self.seen[sum(x * f for x, f in zip(letters_, self.FACTORS)) >> self.SHIFT] = True
+
+
+def against(words: list[str], landmarks: Landmarks) -> np.ndarray:
+    """The normalised kernel of each word with each landmark: products of weights, summed over the triples they share."""
+    n, out = landmarks.n, np.zeros((len(words), landmarks.n), np.float32)
+    if not len(landmarks.code):
         return out
+    for of, c in _by_length(words):
+        i, j, k, w = _triples(c.shape[1])
+        at, place = [], []
+        with np.errstate(over="ignore"):
+            x, y, z = (np.ascontiguousarray((c * f).T) for f in landmarks.FACTORS)
+            # triples of few words in one matrix, of many words one after another
+            step = max(1, 100_000 // len(of))
+            for t in range(0, len(i), step):
+                u = slice(t, t + step)
+                maybe = np.flatnonzero(landmarks.seen[(x[i[u]] + y[j[u]] + z[k[u]]) >> landmarks.SHIFT])
+                at.append(maybe % len(of))
+                place.append(maybe // len(of) + t)
+        at, place = np.concatenate(at), np.concatenate(place)
+        weight = w[place]
+        code = (c[at, i[place]].astype(np.int64) << 42) | (c[at, j[place]].astype(np.int64) << 21) | c[at, k[place]]
+        row = np.minimum(np.searchsorted(landmarks.code, code), len(landmarks.code) - 1)
+        hit = np.flatnonzero(landmarks.code[row] == code)
+        row, at = row[hit], at[hit]
+        size = landmarks.size[row]
+        ends = np.cumsum(size)
+        pair = np.arange(ends[-1] if len(ends) else 0) + np.repeat(landmarks.first[row] - (ends - size), size)
+        sums = np.bincount(np.repeat(at, size) * n + landmarks.word[pair], np.repeat(weight[hit], size) * landmarks.weight[pair], len(of) * n)
+        out[of] = np.minimum(sums.reshape(len(of), n) / np.sqrt(own_kernel(c))[:, None], 1)
+    return out
+
+
+def kernel(words: list[str], others: list[str]) -> np.ndarray:
+    """The normalised kernel of each word with each of the others; 0 for words of fewer than three letters."""
+    return against(words, Landmarks(others))
+
+
+class _Rows(dict):
+    """Word -> its row, in order of first sight."""
 
-    def learn(self, words: list[str]) -> None:
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            x = letters(w)
-            for at in range(0, max(1, len(x) - WIDTH // 2), WIDTH // 2) if len(x) > WIDTH else (0,):
-                parts.append(x[at : at + WIDTH])
-                owner.append(i)
-        best: dict[int, np.ndarray] = {}
-        for at in range(0, len(parts), 20_000):
-            m = self.matrix(parts[at : at + 20_000])
-            for r in np.flatnonzero(m.any(1)):
-                i = owner[at + r]
-                best[i] = np.maximum(best[i], m[r]) if i in best else m[r].copy()
-        for i, w in enumerate(words):
-            self.cache[w] = best.get(i)
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class WordMap:
+    """The Nystroem map of words over landmarks: z(v) . z(w) approximates the squared normalised kernel of v and w."""
+
+    def __init__(self, landmarks: list[str]):
+        self.m, self.landmarks = len(landmarks), Landmarks(landmarks)
+        k = against(landmarks, self.landmarks).astype(np.float64) ** 2
+        val, vec = np.linalg.eigh((k + k.T) / 2) if self.m else (np.zeros(0), np.zeros((0, 0)))
+        self.root = ((vec / np.sqrt(np.maximum(val, 1e-3))) @ vec.T).astype(np.float32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.row, self.z = _Rows(), np.zeros((1 << 12, self.m), np.float32)
+
+    def maps(self, words: list[str]) -> np.ndarray:
+        """z of each word; of a long word's windows the best value for each landmark counts."""
+        found = list(map(letters, words))
+        short = [x if len(x) <= WIDTH else "" for x in found]
+        out = np.concatenate([against(short[a : a + 100_000], self.landmarks) for a in range(0, len(short), 100_000)] or [np.zeros((0, self.m), np.float32)])
+        long = [i for i, x in enumerate(found) if len(x) > WIDTH]
+        parts, first = [], []
+        for x in map(found.__getitem__, long):
+            first.append(len(parts))
+            parts += [x[at : at + WIDTH] for at in range(0, len(x) - WIDTH // 2, WIDTH // 2)]
+        if long:
+            every = np.concatenate([against(parts[a : a + 20_000], self.landmarks) for a in range(0, len(parts), 20_000)])
+            out[long] = np.maximum.reduceat(every, first, axis=0)
+        return (out * out) @ self.root
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """Each text's best similarity to each landmark, then log(1 + sum of similarities per 100 words)."""
-        counts = [word_counts(t) for t in texts]
-        if len(self.cache) > 300_000:
-            self.cache.clear()
-        self.learn(sorted({w for c in counts for w in c if w not in self.cache}))
-        m = len(self.landmarks)
-        out = np.zeros((len(texts), 2 * m), np.float32)
-        for i, c in enumerate(counts):
-            best, total = out[i, :m], out[i, m:]
-            for w, n in c.items():
-                if (v := self.cache[w]) is not None:
-                    np.maximum(best, v, out=best)
-                    total += n * v
-            total *= 100 / max(50, c.total())
-        out[:, m:] = np.log1p(out[:, m:])
+        """Each text's maxima over its words' maps, then the logarithm of their sum per 100 words (of 50 words at least)."""
+        if len(self.row) > REMEMBERED:
+            self.forget()
+        known = len(self.row)
+        rows = [np.fromiter(map(self.row.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts)]
+        new = list(islice(self.row, known, None))
+        while len(self.row) > len(self.z):
+            self.z = np.concatenate([self.z, np.zeros_like(self.z)])
+        self.z[known : len(self.row)] = self.maps(new)
+        out = np.zeros((len(texts), 2 * self.m), np.float32)
+        for i, r in enumerate(rows):
+            if len(r):
+                z = self.z[r]
+                out[i, : self.m] = z.max(0)
+                mean = z.sum(0) * (100 / max(50, len(r)))
+                out[i, self.m :] = np.sign(mean) * np.log1p(np.abs(mean))
         return out
 
 
-def _strings(text: str | None) -> Counter:
-    """Marked words of a text and their first 4 to 8 letters, with counts."""
-    out: Counter = Counter()
-    for w, n in word_counts(text).items():
-        x = letters(w)[:WIDTH]
-        if len(x) >= 5:
-            for k in range(5, min(len(x), 10)):
-                out[x[:k]] += n
-            out[x] += n
-    return out
-
+def _starts(x: str) -> list[str]:
+    """A marked word whole and its starts of 4 letters and more; a long one's windows."""
+    return [x[:k] for k in range(5, len(x) + 1)] if len(x) <= WIDTH else [x[at : at + WIDTH] for at in range(0, len(x) - WIDTH // 2, WIDTH // 2)]
 
-def _count(wanted: set[str] | None):
-    def run(batches):
-        for b in batches:
-            count, docs = Counter(), Counter()
-            for t in b.column(0).to_pylist():
-                found = _strings(t)
-                if wanted is not None:
-                    found = {s: n for s, n in found.items() if s in wanted}
-                for s, n in found.items():
-                    count[s] += min(n, 5)  # no text outweighs many
-                    docs[s] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64()), pa.array([docs[s] for s in count], pa.int64())], names=["s", "n", "d"])
 
-    return run
+def _count(batches):
+    """(s, a, b): how many different words of toxic and of other texts begin with s, or are it."""
+    words = Counter(), Counter()
+    for batch in batches:
+        for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words[y == 1].update({letters(w) for w in set(words_of(t))})
+    found: dict[str, list[int]] = {}
+    for y, count in enumerate(words):
+        for w, n in count.items():
+            for s in _starts(w):
+                found.setdefault(s, [0, 0])[y] += n
+    names = list(found)
+    for i in range(0, len(names), 100_000):
+        part = names[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([found[s][1] for s in part], pa.int64()), pa.array([found[s][0] for s in part], pa.int64())], names=["s", "a", "b"])
 
 
 def mine_landmarks(sample: DataFrame) -> list[str]:
-    """Strings of toxic texts with the strongest association, none that a chosen one already matches, and common clean words."""
-    toxic, other = sample.where("toxic = 1").select("text"), sample.where("toxic = 0").select("text")
-    n1, n0 = toxic.count(), other.count()
+    """Strings that most tell toxic texts from others, none of which a chosen one already matches as well, and common words of other texts.
+
+    The measure is the log-likelihood ratio of how many words of texts begin with a string. Of strings that a chosen one
+    matches, one is taken only if texts with it are toxic clearly more often.
+    """
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return []
-    least = max(3, n1 // 200)
-    count = lambda df, wanted: df.mapInArrow(_count(wanted), "s string, n long, d long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    words = lambda df: df.select(F.sum(F.size(F.split("text", " "))).alias("n")).first()["n"]
-    w1, w0 = words(toxic), words(other)
-    # the strings in most texts are as many at any size
-    often = {r["s"]: r["n"] for r in count(toxic, None).where(F.col("d") >= least).orderBy(F.desc("d"), "s").limit(30_000).collect()}
-    clean = {r["s"]: r["n"] for r in count(other, set(often)).collect()}
-
-    def gain(s):
-        """Log-likelihood ratio of the counts, for strings at least three times as dense in toxic texts."""
-        a, b = often[s], clean.get(s, 0)
-        e1, e0 = (a + b) * w1 / (w1 + w0), (a + b) * w0 / (w1 + w0)
-        return a * np.log(a / e1) + (b * np.log(b / e0) if b else 0) if a / w1 > 3 * (b + 0.5) / w0 else 0.0
-
-    # of strings with one gain the longer, up to the whole word
-    ranked = sorted(((gain(s), len(s), s) for s in often), reverse=True)
+    found = keep(sample.select("text", "toxic").mapInArrow(_count, "s string, a long, b long").groupBy("s").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= 3), "strings")
+    e1, e0 = F.expr(f"(a + b) * {n1 / (n1 + n0)!r}D"), F.expr(f"(a + b) * {n0 / (n1 + n0)!r}D")
+    gain = F.when(F.col("a") / n1 > 3 * (F.col("b") + 0.5) / n0, F.col("a") * F.ln(F.col("a") / e1) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / e0)).otherwise(0.0))
+    best = found.withColumn("g", gain).where("g >= 8").orderBy(F.desc("g"), F.desc(F.length("s")), "s").limit(CANDIDATES).collect()
+    clean = [r["s"] for r in found.where("length(s) >= 6").orderBy(F.desc(F.col("b") / n0 - F.col("a") / n1), "s").limit(CLEAN_LANDMARKS).collect()]
+    forget(found)
+    most = min(MOST_LANDMARKS, max(LEAST_LANDMARKS, n1 // LABELS_PER_LANDMARK))
     chosen: list[str] = []
-    for g, _, s in ranked:
-        if g < 10 or len(chosen) == MOST_LANDMARKS - CLEAN_LANDMARKS:
+    share: list[float] = []
+    for first in range(0, len(best), 500):
+        if len(chosen) == most:
             break
-        if not any(float(kernel(_codes([s]), t)[0] / kernel(_codes([t]), t)[0]) >= 0.8 or t.startswith(s) and often[s] < 1.5 * often[t] for t in chosen):
-            chosen.append(s)
-    usual = sorted((s for s in clean if len(s) >= 6 and s not in chosen), key=lambda s: (-clean[s], s))
-    return chosen + usual[:CLEAN_LANDMARKS]
+        block = [r["s"] for r in best[first : first + 500]]
+        near = kernel(block, chosen + block)
+        column = list(range(len(chosen)))  # of each chosen one in near
+        for i, r in enumerate(best[first : first + 500]):
+            if len(chosen) == most:
+                break
+            own = (r["a"] + 0.5) / (r["a"] + r["b"] + 1)
+            if all(own > 1.3 * share[j] for j, c in enumerate(column) if near[i, c] >= 0.75):
+                column.append(len(near[0]) - len(block) + i)
+                chosen.append(r["s"])
+                share.append(own)
+    return chosen + [s for s in clean if s not in chosen] if chosen else []
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, landmarks: list[str], cost: float = 10.0) -> dict:
-    """Weights of a squared-hinge machine over the Nystroem map, folded back to the similarities, and its sigmoid."""
-    codes = _codes(landmarks)
-    k = np.stack([kernel(codes, t) for t in landmarks], 1).astype(float)
-    k /= np.sqrt(np.outer(np.diag(k), np.diag(k)))
-    val, vec = np.linalg.eigh((k + k.T) / 2)
-    root = (vec / np.sqrt(np.maximum(val, 5e-2))) @ vec.T
-    root = np.kron(np.eye(2), root)  # best similarities, then their sums
-    z, s = np.c_[x @ root, np.ones(len(x))], np.where(y == 1, 1.0, -1.0)
+    """Weights of a squared-hinge machine over pooled maps, and its sigmoid."""
+    z, s = np.c_[x, np.ones(len(x))], np.where(y == 1, 1.0, -1.0)
     weight = np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum()))) * cost / len(y)
     w, ridge = np.zeros(z.shape[1]), np.r_[np.full(z.shape[1] - 1, 1e-3), 1e-6]
     loss = lambda w: (ridge * w * w).sum() / 2 + (weight * np.maximum(0, 1 - s * (z @ w)) ** 2).sum()
@@ -246,13 +321,14 @@ def fit_machine(x: np.ndarray, y: np.ndarray, landmarks: list[str], cost: float
         a, b = a - move[0], b - move[1]
         if np.abs(move).max() < 1e-7:
             break
-    return {"landmarks": landmarks, "w": root @ w[:-1], "bias": float(w[-1]), "a": float(a), "b": float(b)}
+    return {"landmarks": landmarks, "w": w[:-1], "bias": float(w[-1]), "a": float(a), "b": float(b)}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Fits on at most MOST_TOXIC + MOST_OTHER labelled rows, those with the least hash of their id, outside the held-out fold.
 
-    Without rows of both labels the model scores every text 0.
+    Rows alike in text count once; null texts and labels are left out. Without rows of both labels, or without a string
+    that tells them apart, the model scores every text 0.
     """
     own = labels.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0").select(F.col("doc_id").alias("__id"), "toxic")
     pick = lambda y, n: own.where(F.col("toxic") == y).dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(n)
@@ -265,7 +341,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             return {"landmarks": [], "w": np.zeros(0), "bias": 0.0, "a": 0.0, "b": -30.0}
 
         def features(batches):
-            sim = Similarity(landmarks)
+            sim = WordMap(landmarks)
             for b in batches:
                 x = sim.pooled(b.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["toxic", "x"])
@@ -278,11 +354,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_machine(np.stack(rows["x"]).astype(float), rows["toxic"].to_numpy(), landmarks)
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs with a column __toxicity from 0 to 1; null and empty texts are scored as texts without words."""
+def score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "__toxicity") -> DataFrame:
+    """docs with a column name from 0 to 1, over one that had it; null and empty texts are scored as texts without words.
+
+    Every row is scored by its text alone: repeated rows score alike, and an empty table gives no rows.
+    """
 
     def run(parts):
-        sim = Similarity(model["landmarks"])
+        sim = WordMap(model["landmarks"])
         for text in parts:
             x = sim.pooled([t if isinstance(t, str) else None for t in text]).astype(float)
             margin = x @ model["w"] + model["bias"]
@@ -291,7 +370,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     from collections.abc import Iterator
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("__toxicity", F.pandas_udf(run, "double")(text_col))
+    return docs.withColumn(name, F.pandas_udf(run, "double")(text_col))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

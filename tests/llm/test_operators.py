@@ -1,6 +1,7 @@
 """The operators against brute force, and on edge rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -215,7 +216,9 @@ def test_secrets_after_names(spark):
 
 
 def test_toxicity_held_out(spark, edge):
-    sf = "/root/testdata/sf0.1"
+    sf = os.environ.get("TEST_TOXICITY_DIR", "/root/testdata/sf0.1")
+    if not os.path.exists(sf):
+        pytest.skip("no larger tables")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()}
     rows = QUERIES["op3_toxicity"](spark, sf).collect()
     assert len(rows) == 10_000 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
@@ -228,10 +231,61 @@ def test_toxicity_held_out(spark, edge):
     assert scored.count() == 12 and scored.where("__toxicity >= 0.5").count() == 0
 
 
-def test_kernel_tolerates_insertions():
-    sim = toxicity.Similarity(["^idiot"])
-    near, far = sim.matrix(["^idxiot", "^ididot"]), sim.matrix(["^window", "^notice"])
-    assert near.min() > 0.3 and far.max() < 0.3
+def brute_kernel(a, b):
+    """The subsequence kernel by enumeration of all letter triples."""
+    from itertools import combinations
+
+    def triples(w):
+        out = defaultdict(float)
+        for i, j, k in combinations(range(len(w)), 3):
+            out[w[i], w[j], w[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = triples(a), triples(b)
+    return sum(v * y.get(t, 0.0) for t, v in x.items())
+
+
+def test_kernel_by_enumeration():
+    """Exact for every pair, equal letters, gaps, code points beyond 16 bits and all; nothing is cut off."""
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdé^𝕏"), rng.integers(0, 12))) for _ in range(120)] + ["^idiot", "ixdxixoxt", "ixxdxxixxoxxt", "a" * 24]
+    got = toxicity.kernel(words, words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            norm = brute_kernel(a, a) * brute_kernel(b, b)
+            assert abs(got[i, j] - (brute_kernel(a, b) / np.sqrt(norm) if norm else 0)) < 1e-5
+    assert toxicity.kernel(["ixxdxxixxoxxt"], ["idiot"])[0, 0] > 0.01
+
+
+def test_word_map_is_a_nystroem_map():
+    """Products of landmarks' maps are the squared kernel; of other words' they come near it; long words count whole."""
+    marks = ["^idiot", "^moron", "^worthless", "^window", "^report", "^garden"]
+    m = toxicity.WordMap(marks)
+    z = m.maps([w[1:] for w in marks])
+    assert np.abs(z @ z.T - toxicity.kernel(marks, marks) ** 2).max() < 1e-3
+    near = m.maps(["idiots", "id1ot", "i.d.i.o.t", "x" * 90 + "idiot" + "y" * 90, "zebra"])
+    s = near @ z[0]
+    assert s[0] > 0.4 and s[1] > 0.9 and s[2] > 0.9 and s[4] < 0.1
+    assert m.maps(["qqqidiotqqq" * 9])[0] @ z[0] > 0.02
+    texts = [None, "", "i d i o t", "an idiot", "clean words alone " * 3000]
+    x = m.pooled(texts)
+    assert (x[:2] == 0).all() and abs(x[2, 0] - x[3, 0]) < 0.05 and x[4, 0] < 0.2
+
+
+def test_toxicity_edges_with_a_model(spark):
+    """Null, empty, long and repeated texts, and clashing names, before a model that was fitted."""
+    clean = ["the report of the garden was long and good", "we saw the window and the house by the river", "nothing to say about the weather today my friend"]
+    rows = [(i, f"{clean[i % 3]} number {i}" + (" you idiot and moron" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model["landmarks"]
+    texts = [None, "", "word " * 30_000 + "idiot moron", clean[0], clean[0], "what an 1d10t and a m.o.r.o.n he is", "\n\t"]
+    df = spark.createDataFrame([(i, t, 7.0) for i, t in enumerate(texts)], "doc_id long, text string, __toxicity double")
+    got = {r.doc_id: r.s for r in toxicity.score(df, model, name="s").collect()}
+    assert len(got) == 7 and got[3] == got[4] < 0.5 < got[5] and got[0] == got[1] == got[6] < 0.5 and got[2] > 0.4
+    assert toxicity.score(df.limit(0), model).count() == 0
+    assert toxicity.score(df, model, name="s").select("__toxicity").distinct().count() == 1
 
 
 def test_sampling(spark, edge):
