@@ -174,6 +174,11 @@ def humanize_duration(ms) -> Column:
     return F.when(n.isNull(), None).when(n == 0, "0ms").otherwise(F.concat(F.when(_c(ms) < 0, "-").otherwise(""), text))
 
 
+def now() -> Column:
+    """The run's time: one instant for all rows and partitions."""
+    return F.current_timestamp()
+
+
 def to_iso(ts) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
 

@@ -132,22 +132,25 @@ def _checked(col: Column, pattern: str, ok, mark: str) -> Column:
     return F.when(F.size(found) > 0, joined).otherwise(col)
 
 
-def normalized(s, patterns: list[str] | str | None = None) -> Column:
-    """The text with <kind> for each value of the kinds, a list or names with commas between; unknown names do nothing."""
+def normalized(s, patterns: list[str] | str | None = None, own: dict[str, str] | None = None) -> Column:
+    """The text with <kind> for each value of the kinds, a list or names with commas between; unknown names do nothing.
+
+    own: patterns that stand for those of the same name, or for further kinds.
+    """
     names = DEFAULT if patterns is None else [p.strip() for p in patterns.split(",")] if isinstance(patterns, str) else patterns
-    col, used = _c(s), []
+    col, used, table = _c(s), [], PATTERNS | (own or {})
     for i, name in enumerate(names):
-        if name not in PATTERNS:
+        if name not in table:
             continue
         mark = chr(0xE000 + i)  # private characters, so that no later kind sees the words of an earlier mask
         used.append((mark, name))
         if name == "credit_card":
-            col = _checked(col, PATTERNS[name], _is_card, mark)
+            col = _checked(col, table[name], _is_card, mark)
         elif name == "phone":
             for form in _phones():
                 col = _checked(col, form, _is_phone, mark)
         else:
-            col = _replaced(col, PATTERNS[name], mark, NEEDLES.get(name))
+            col = _replaced(col, table[name], mark, NEEDLES.get(name))
     for mark, name in used:
         col = F.replace(col, F.lit(mark), F.lit(f"<{name}>"))
     return col

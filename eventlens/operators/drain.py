@@ -1,42 +1,35 @@
 """Template mining: lines with variable parts masked, grouped, and merged where they are alike.
 
-The definition is our own and doesn't depend on arrival. A line's tokens are masked by kind; lines of equal masked text are
-one group (a partial aggregate, so a million equal lines are one row). Groups of equal token count and equal first tokens
-are merged, most frequent first, where the share of equal tokens reaches the similarity; differing tokens become <*>.
+The definition is our own and doesn't depend on arrival. A line's values are masked by kind; lines of equal masked text are
+one group (a partial aggregate, so a million equal lines are one row). Groups fall into leaves of a tree: by their number
+of tokens, then by their first tokens, as many as the depth says; a node has its commonest children and one for all
+others. In a leaf groups are merged, most frequent first, where the share of equal tokens reaches the similarity;
+differing tokens become <*>.
 """
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import masks
 from ..functions.strings import _c
 
-#: (pattern, mask) applied to a line in this order.
-FILTERS = [
-    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
-    (r"\bhttps?://[^\s\"'<>]+", "<url>"),
-    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "<email>"),
-    (r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<timestamp>"),
-    (r"\b(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?\b", "<ip>"),
-    (r"\b(?:[0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2}\b", "<mac>"),
-    (r"\b0x[0-9a-fA-F]+\b", "<hex>"),
-    (r"\b(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{8,64}\b", "<hash>"),
-    (r"(?<![\w/])/[\w.-]+(?:/[\w.-]+)+", "<path>"),
-    (r"\b\d+(?:\.\d+)?(?:ns|us|ms|s|m|h)\b", "<duration>"),
-    (r"\b\d+(?:\.\d+)?\s?(?:[KMGT]i?B|bytes)\b", "<size>"),
-    (r"(?<![\w.])[+-]?\d+(?:\.\d+)?%?(?![\w.])", "<num>"),
-]
+#: The kinds that are masked, in this order.
+KINDS = "ipv4_port ipv4 ipv6 email url fqdn uuid mac md5 sha1 sha256 path oauth function hexcolor version hexnum duration timestamp date time num".split()
+_DAY, _CLOCK = r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?"
+#: Kinds that lines hold in other forms than texts: versions without a v, paths of two components or more, short durations, times, numbers that stand alone.
+OWN = {
+    "version": r"(?<![\w.])[Vv]?[0-9]+\.[0-9]+(?:\.[0-9]+)?(?:-[0-9A-Za-z]+)?(?![\w.])", "path": r"(?<![\w/])(?:/[\w.-]+){2,}", "duration": r"(?<![\w.])[0-9]+(?:\.[0-9]+)?(?:us|ms|ns|[smhd])\b",
+    "timestamp": rf"\b{_DAY}T{_CLOCK}(?:Z|[+-][0-9]{{2}}:?[0-9]{{2}})?", "date": rf"\b{_DAY}\b", "time": rf"\b{_CLOCK}", "num": r"(?<![\w.])[-+]?[0-9]+(?:\.[0-9]+)?(?:[Ee][-+]?[0-9]+)?(?![\w.])",
+}
 DEPTH, CHILDREN, SIMILARITY = 4, 100, 0.4
 
 
-def masked(text, filters=None) -> Column:
-    col = _c(text)
-    for pattern, mask in FILTERS if filters is None else filters:
-        col = F.regexp_replace(col, pattern, mask)
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
+def masked(text, kinds: list[str] | None = None) -> Column:
+    """The text with its values masked and single blanks between tokens."""
+    return F.trim(F.regexp_replace(masks.normalized(_c(text), KINDS if kinds is None else kinds, OWN), r"\s+", " "))
 
 
 def template_id(template) -> Column:
@@ -65,24 +58,41 @@ def merge(masked_counts: list[tuple[str, int]], similarity: float = SIMILARITY)
     return out
 
 
-def drain(df: DataFrame, text: str, similarity: float = SIMILARITY, depth: int = DEPTH, filters=None) -> DataFrame:
+def _leaves(groups: DataFrame, depth: int, children: int) -> DataFrame:
+    """groups with the key of their leaf. Tokens with a digit or a mask lead to the child for all others."""
+    tokens = F.split("masked", " ")
+    out = groups.withColumn("key", F.size(tokens).cast("string"))
+    for i in range(max(1, depth - 2)):
+        t = F.get(tokens, F.lit(i))
+        out = out.withColumn("__t", F.when(t.isNull() | t.rlike(r"[0-9]|<"), "<*>").otherwise(t))
+        # a node's children by the lines below them; the rank is over different tokens of the node
+        sums = out.groupBy("key", "__t").agg(F.sum("count").alias("__n"))
+        ranked = sums.withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("__n"), "__t")))
+        out = out.join(ranked.where(F.col("__r") <= children).select("key", "__t", F.lit(True).alias("__own")), ["key", "__t"], "left")
+        out = out.withColumn("key", F.concat_ws(" ", "key", F.when(F.col("__own"), F.col("__t")).otherwise("<*>"))).drop("__t", "__own")
+    return out
+
+
+def drain(df: DataFrame, text: str, similarity: float = SIMILARITY, depth: int = DEPTH, children: int = CHILDREN, filters: list[str] | None = None) -> DataFrame:
     """(masked, template, count): each distinct masked text with its template."""
     groups = df.where(F.col(text).isNotNull()).select(masked(text, filters).alias("masked")).groupBy("masked").agg(F.count("*").alias("count"))
-    tokens = F.split("masked", " ")
-    lead = F.transform(F.slice(tokens, 1, max(1, depth - 2)), lambda t: F.when(t.rlike(r"\d|<"), "<*>").otherwise(t))
-    keyed = groups.withColumn("key", F.concat_ws(" ", F.size(tokens).cast("string"), lead))
+    keyed = _leaves(groups, max(2, depth), max(1, children))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = merge(list(zip(pdf["masked"], pdf["count"])), similarity)
+        found = merge(list(zip(pdf["masked"], pdf["count"])), min(1.0, max(0.0, similarity)))
         return pd.DataFrame({"masked": pdf["masked"], "template": pdf["masked"].map(found), "count": pdf["count"]})
 
     return keyed.groupBy("key").applyInPandas(run, "masked string, template string, count long")
 
 
-def templates(df: DataFrame, text: str, **options) -> DataFrame:
-    """template, template_id, count; by count descending, then template, where it is shown."""
-    found = drain(df, text, **options).groupBy("template").agg(F.sum("count").alias("count"))
-    return found.select("template", template_id("template").alias("template_id"), "count")
+def templates(df: DataFrame, text: str, line: str | None = None, **options) -> DataFrame:
+    """template, template_id, count; with a column of line numbers also a sample and the first and last line. By count descending, then template, where it is shown."""
+    if line is None:
+        found = drain(df, text, **options).groupBy("template").agg(F.sum("count").alias("count"))
+        return found.select("template", template_id("template").alias("template_id"), "count")
+    own = with_template(df.select(F.col(text).alias("__text"), F.col(line).alias("__line")), "__text", **options).where("template is not null")
+    per = own.groupBy("template").agg(F.count("*").alias("count"), F.min_by("__text", "__line").alias("sample"), F.min("__line").alias("first_line"), F.max("__line").alias("last_line"))
+    return per.select("template", template_id("template").alias("template_id"), "count", "sample", "first_line", "last_line")
 
 
 def with_template(df: DataFrame, text: str, name: str = "template", **options) -> DataFrame:
@@ -91,3 +101,23 @@ def with_template(df: DataFrame, text: str, name: str = "template", **options) -
     return df.withColumn("__m", masked(text, options.get("filters"))).join(found, "__m", "left").drop("__m")
 
 
+def report(df: DataFrame, text: str, form: str = "table", line: str | None = None, **options) -> str:
+    """Templates as text: table (count and template), full (with lines and a sample below each), id (ids and templates), json."""
+    import json
+
+    rows = templates(df, text, line, **options).orderBy(F.desc("count"), "template").collect()
+    if form == "json":
+        return json.dumps([{k: v for k, v in r.asDict().items() if v is not None} for r in rows], ensure_ascii=False)
+    if not rows:
+        return "No templates found"
+    if form == "id":
+        return "\n".join(f"{r['template_id']}: {r['template']}" for r in rows)
+    if form not in ("table", "full"):
+        raise ValueError(f"unknown form: {form}")
+    width = max(len(str(r["count"])) for r in rows)
+    out = [f"templates ({len(rows)} items):"]
+    for r in rows:
+        out.append(f"  {r['count']:>{width}}  {r['template']}")
+        if form == "full" and line is not None:
+            out += [f"  {'':>{width}}    lines {r['first_line']}-{r['last_line']}", f"  {'':>{width}}    sample: {r['sample']}"]
+    return "\n".join(out)

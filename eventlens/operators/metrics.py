@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import _c
@@ -146,27 +146,94 @@ class Metrics:
         return out
 
 
-def discover(df: DataFrame, json_col: str, depth: int = 3) -> DataFrame:
-    """path, events, missing_pct, types and distinct of the fields of JSON texts, nested ones to a depth."""
-    level = df.select(F.lit("").alias("path"), F.col(json_col).alias("v"))
+    def finish(self, f=None, most: int = 10_000):
+        """The finalised metrics as a dict, given to f, if there is one: what runs once at the end of a run.
+
+        Scalars are values, keyed metrics dicts of the `most` greatest entries at most: a report, on the driver.
+        """
+        out = dict(self.df.agg(*self.scalars.values()).first().asDict()) if self.scalars else {}
+        for name, frame in self.frames.items():
+            key, value = frame.columns
+            out[name] = {r[0]: r[1] for r in frame.orderBy(F.desc(value), key).limit(most).collect()}
+        return f(out) if f else out
+
+    def text(self, form: str = "short", most: int = 10) -> str:
+        """The report as text: short (the first entries of keyed metrics) or full, by name; tsv (metric, key, value), or json."""
+        import json
+
+        found = self.finish()
+        show = lambda v: f"{v:g}" if isinstance(v, float) else str(v)
+        if form == "json":
+            return json.dumps({k: found[k] for k in sorted(found)}, default=str, ensure_ascii=False)
+        if form == "tsv":
+            rows = [(n, k, v) for n in sorted(found) for k, v in (found[n].items() if isinstance(found[n], dict) else [("", found[n])])]
+            return "".join(f"{n}\t{k}\t{show(v)}\n" for n, k, v in rows)
+        if form not in ("short", "full"):
+            raise ValueError(f"unknown form: {form}")
+        lines = []
+        for n in sorted(found):
+            if not isinstance(found[n], dict):
+                lines.append(f"{n} = {show(found[n])}")
+                continue
+            entries = list(found[n].items())
+            shown = entries if form == "full" else entries[:most]
+            lines += [f"{n} ({len(entries)} entries):", *[f"  {k} = {show(v)}" for k, v in shown]]
+            if len(shown) < len(entries):
+                lines.append(f"  ... {len(entries) - len(shown)} more")
+        return "\n".join(lines) + "\n"
+
+
+#: Kinds of JSON values, and how many examples of a field are kept.
+KINDS, SAMPLES = ["null", "object", "array", "bool", "int", "float", "string"], 8
+
+
+def discover(df: DataFrame, json_col: str, depth: int = 3, most: int = 500) -> DataFrame:
+    """The fields of JSON texts, nested ones to a depth, items of arrays as path[]: the `most` commonest, by events.
+
+    path, events, missing_pct, types, a count of values of each kind (kinds), distinct (exact to 256, beyond that
+    estimated), the SAMPLES values with the least hashes, the least and greatest value, and the least and greatest size
+    of objects and arrays.
+    """
+    v = F.col("v")
+    kind = F.when(v.isNull(), "null").when(v.startswith("{"), "object").when(v.startswith("["), "array").when(v.isin("true", "false"), "bool").when(v.rlike(r"^-?[0-9]+\z"), "int").when(v.rlike(r"^-?[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?\z"), "float").otherwise("string")
+    level = df.select(F.monotonically_increasing_id().alias("e"), F.lit("").alias("path"), F.col(json_col).alias("v"))
     found = None
     for _ in range(depth):
-        entries = F.from_json("v", "map<string,string>")
-        at = level.where(F.ltrim("v").startswith("{")).select("path", F.explode(entries).alias("k", "v"))
-        level = at.select(F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), F.col("k")).alias("path"), "v")
+        at = level.where(F.ltrim("v").startswith("{")).select("e", "path", F.explode(F.from_json("v", "map<string,string>")).alias("k", "v"))
+        fields = at.select("e", F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), F.col("k")).alias("path"), "v")
+        items = level.where(F.ltrim("v").startswith("[")).select("e", F.concat("path", F.lit("[]")).alias("path"), F.explode(F.from_json("v", "array<string>")).alias("v"))
+        level = fields.unionByName(items)
         found = level if found is None else found.unionByName(level)
-    v = F.col("v")
-    kind = F.when(v.isNull(), "null").when(v.startswith("{"), "object").when(v.startswith("["), "array").when(v.isin("true", "false"), "bool").when(v.rlike(r"^-?[0-9]+\z"), "int").when(v.rlike(r"^-?[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?\z"), "float").otherwise("string")
     n = df.count()
-    per = found.groupBy("path").agg(F.count("*").alias("events"), F.array_sort(F.collect_set(kind)).alias("types"), F.approx_count_distinct("v", 0.01).alias("distinct"), F.min("v").alias("least"), F.max("v").alias("greatest"))
-    return per.withColumn("missing_pct", F.round(100 * (1 - F.col("events") / n), 4))
-
-
-def run_stats(df: DataFrame, ts: str | None = None, level: str | None = None) -> DataFrame:
-    """One row: events, first and last timestamp, events without one, distinct levels."""
+    size = F.when(v.startswith("{"), F.size(F.json_object_keys("v"))).when(v.startswith("["), F.json_array_length("v"))
+    # values are counted first, so a common one is one row in what follows
+    values = found.groupBy("path", "v").agg(F.count_distinct("e").alias("events"), F.count("*").alias("n"))
+    per_value = values.select("path", "v", "events", "n", kind.alias("kind"), size.alias("size"), F.xxhash64("v").alias("h"))
+    counts = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"__{k}") for k in KINDS]
+    pick = F.expr(f"transform(slice(array_sort(collect_list(if(r <= {SAMPLES}, named_struct('h', h, 'v', v), null))), 1, {SAMPLES}), x -> x.v)")
+    # a path's values are ranked in 256 parts, so no task sees all of them; the least of all are among each part's
+    ranked = per_value.withColumn("r", F.row_number().over(Window.partitionBy("path", F.pmod("h", F.lit(256))).orderBy("h")))
+    per = ranked.groupBy("path").agg(F.count("v").alias("exact"), F.approx_count_distinct("v", 0.01).alias("about"), F.array_sort(F.collect_set("kind")).alias("types"), pick.alias("samples"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), *counts)
+    events = found.groupBy("path").agg(F.count_distinct("e").alias("events"))
+    kinds = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in KINDS]), F.array(*[F.col(f"__{k}") for k in KINDS])), lambda _, c: c > 0)
+    distinct = F.when(F.col("exact") <= 256, F.col("exact")).otherwise(F.col("about")).alias("distinct")
+    out = per.join(events, "path").select("path", "events", F.round(100 * (1 - F.col("events") / n), 4).alias("missing_pct"), "types", kinds.alias("kinds"), distinct, "samples", "least", "greatest", "min_size", "max_size")
+    return out.orderBy(F.desc("events"), "path").limit(most)
+
+
+def run_stats(df: DataFrame, ts: str | None = None, level: str | None = None, read: DataFrame | None = None, parsed: str | None = None) -> DataFrame:
+    """One row: events, first and last timestamp, events without one, distinct levels; with the lines that were read, also
+    lines, lines filtered out and, where a column of parsed values is named, lines that could not be parsed.
+    """
     out = [F.count("*").alias("events")]
     if ts:
-        out += [F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count_if(F.col(ts).isNull()).alias("without_ts")]
+        out += [F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count_if(F.col(ts).isNull()).alias("without_ts"), ((F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))) / 1_000_000).alias("span_seconds")]
     if level:
         out.append(F.array_sort(F.collect_set(F.upper(level))).alias("levels"))
-    return df.agg(*out)
+    row = df.agg(*out)
+    if read is None:
+        return row
+    bad = F.count_if(F.col(parsed).isNull()) if parsed else F.lit(0).cast("long")
+    seen = read.agg(F.count("*").alias("lines"), bad.alias("parse_errors"))
+    both = row.crossJoin(F.broadcast(seen))  # one row each
+    return both.withColumn("filtered", F.col("lines") - F.col("parse_errors") - F.col("events"))

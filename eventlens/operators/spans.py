@@ -68,6 +68,14 @@ def time_spans(df: DataFrame, ts: str, order: str, duration: str, by=()) -> Data
     return out.withColumns({"span_start": F.when(ok, F.timestamp_micros("__b")), "span_end": F.when(ok, F.timestamp_micros(F.col("__b") + us)), "span_id": F.when(ok, F.concat(F.date_format(F.timestamp_micros("__b"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("/" + duration)))}).drop("__b", "__open")
 
 
+def span_status(df: DataFrame, keep: Column, statuses: str = "span_status") -> DataFrame:
+    """df with status filtered, and no span, for rows that a filter after the spans drops: they are told apart, not lost."""
+    gone = ~F.coalesce(keep, F.lit(False))
+    own = [c for c in ("span_id", "span_start", "span_end") if c in df.columns]
+    kinds = dict(df.dtypes)
+    return df.withColumns({statuses: F.when(gone, "filtered").otherwise(F.col(statuses)), **{c: F.when(~gone, F.col(c)).otherwise(F.lit(None).cast(kinds[c])) for c in own}})
+
+
 def _micros(duration: str) -> int:
     from .timeargs import seconds
 
@@ -104,6 +112,8 @@ def close_spans(df: DataFrame, *aggregates: Column, ts: str | None = None, order
     return df.where("span_id is not null").groupBy(*by, "span_id").agg(*own, *aggregates)
 
 
+
+
 def first_seen(df: DataFrame, field: str, order: str) -> DataFrame:
     """(span_id, new_values): how many values of field came first in each span."""
     first = df.where(F.col(field).isNotNull()).groupBy(field).agg(F.min_by("span_id", order).alias("span_id"))

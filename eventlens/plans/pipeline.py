@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 
-from ..operators import drain, events, metrics, outputs, spans, timeargs
+from ..operators import drain, events, metrics, outputs, spans, state, timeargs
 
 
 class Events:
@@ -35,6 +35,9 @@ class Events:
         a, b = timeargs.resolve_range(since, until, now or datetime.now(UTC))
         return self._with(events.between(self.df, self.ts, a, b))
 
+    def stateful(self, step, schema: str, by=None, begin: dict | None = None) -> Events:
+        return self._with(state.stateful(self.df, self.order, step, schema, by, begin))
+
     def take(self, n: int) -> Events:
         return self._with(events.take(self.df, n, self.order))
 
@@ -68,11 +71,30 @@ class Events:
         outputs.write(self.df, path, format, keys)
 
 
+def include(path: str) -> list:
+    """Steps from a file, to stand before others: [["filter", [...]], ...]."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def load_config(text: str) -> tuple[dict[str, list], dict[str, str]]:
+    """(saved steps, defaults) of a configuration: [aliases] name = steps as JSON; [defaults] option = value."""
+    import configparser
+
+    parser = configparser.ConfigParser(interpolation=None)
+    parser.optionxform = str
+    parser.read_string(text)
+    saved = {k: json.loads(v) for k, v in parser["aliases"].items()} if parser.has_section("aliases") else {}
+    return saved, dict(parser["defaults"]) if parser.has_section("defaults") else {}
+
+
 def run_spec(source: Events, spec: str | list, saved: dict[str, list] | None = None, seen: tuple = ()) -> Events | DataFrame:
-    """Runs steps written as JSON: [[method, [args], {options}], ...]; {"use": name} takes a saved list of steps in."""
+    """Runs steps written as JSON: [[method, [args], {options}], ...]; {"use": name} takes a saved list of steps in, {"include": file} a file's."""
     out = source
     for step in json.loads(spec) if isinstance(spec, str) else spec:
-        if isinstance(step, dict):
+        if isinstance(step, dict) and "include" in step:
+            out = run_spec(out, include(step["include"]), saved, seen)
+        elif isinstance(step, dict):
             name = step["use"]
             if name in seen:
                 raise ValueError(f"saved steps use themselves: {' > '.join((*seen, name))}")

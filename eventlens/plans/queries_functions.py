@@ -11,9 +11,13 @@ from ..functions import extract as X
 from ..functions import maps as M
 from ..functions import mathx as MX
 from ..functions import strings as S
+from ..functions import user as U
+from ..operators import drain as DR
 from ..operators import events as EV
 from ..operators import metrics as ME
 from ..operators import outputs as O
+from ..operators import spans as SP
+from ..operators import state as ST
 from ..operators import timeargs
 from ..sources import formats as P
 from .queries import events, query, table
@@ -388,3 +392,117 @@ def output_tsv_and_nested(spark, sf_dir):
     """Quoting in TSV, null and empty cells; a nested cell is key:value pairs."""
     e = events(spark, sf_dir).select("event_id", F.concat("event_type", F.lit("\t"), F.col("user_id").cast("string")).alias("t"), F.struct(F.lit(1).alias("a"), F.col("event_type").alias("b")).alias("s"), F.array(F.lit("x"), F.col("user_id").cast("string")).alias("l"), F.lit(None).cast("string").alias("n"), F.lit("").alias("z"), F.lit(" y").alias("y"))
     return e.select("event_id", O.as_csv(e, ["t", "s", "n", "z"], "\t").alias("tsv"), O.as_csv(e, ["s", "l", "y"]).alias("csv"))
+
+
+# steps with a memory, functions of users, reports ----------------------------------------------------------------------
+
+
+def _count_step(state, event):
+    """state["count"] = (state["count"] ?? 0) + 1; before and after with a default."""
+    before = state.get("count", 100)
+    state["count"] = (state["count"] or 0) + 1
+    return {"event_id": event["event_id"], "before": before, "after": state.get("count", 100)}
+
+
+@query("""WITH n AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+SELECT event_id, CASE WHEN k = 1 THEN 100 ELSE k - 1 END AS before, k AS after FROM n""")
+def state_counter(spark, sf_dir):
+    """A counter a user, read with a default before and after it is set."""
+    return ST.stateful(events(spark, sf_dir).select("event_id", "user_id"), "event_id", _count_step, "event_id long, before long, after long", by=["user_id"])
+
+
+def _machine_step(state, event):
+    """Pairs each purchase with the click before it; the map forgets once they are paired."""
+    if event["event_type"] == "click":
+        state.set("click", event["event_id"])
+        state.mixin({"kind": "click"})
+        return None
+    if event["event_type"] == "purchase" and state.contains("click"):
+        out = {"user_id": event["user_id"], "click_id": state["click"], "purchase_id": event["event_id"], "left": len(state + {"x": 1})}
+        state.clear()
+        return out
+    state.fill_with({"other": 1})
+    return None
+
+
+@query("""WITH c AS (SELECT user_id, event_id, event_type, max(CASE WHEN event_type = 'click' THEN event_id END) OVER w AS click_id, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER w AS last_purchase,
+count(*) FILTER (event_type NOT IN ('click')) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id, click_id, event_id AS purchase_id FROM c WHERE event_type = 'purchase' AND click_id IS NOT NULL AND (last_purchase IS NULL OR click_id > last_purchase)""")
+def state_machine(spark, sf_dir):
+    """A purchase after a click of its user, each click used once."""
+    e = events(spark, sf_dir).select("event_id", "user_id", "event_type")
+    return ST.stateful(e, "event_id", _machine_step, "user_id long, click_id long, purchase_id long, left long", by=["user_id"]).drop("left")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def first_of_key(spark, sf_dir):
+    """Dedupe: the first event of each user and kind."""
+    return ST.first_of(events(spark, sf_dir).select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT event_id, event_type || ':' || user_id AS label, length(event_type) * 2 AS n FROM events")
+def user_scalars(spark, sf_dir):
+    """A function of a user over two columns, and one under a name in a text expression."""
+    label = U.scalar(lambda a, b: f"{a}:{b}", "string")
+    U.registered(spark, "twice_length", lambda s: None if s is None else 2 * len(s), "long")
+    return events(spark, sf_dir).select("event_id", label("event_type", "user_id").alias("label"), F.expr("twice_length(event_type)").alias("n"))
+
+
+@query("SELECT event_type, round(max(value) - min(value), 6) AS spread FROM events GROUP BY 1")
+def user_aggregate(spark, sf_dir):
+    """An aggregate of a user: the spread of values, from partial states."""
+    how = U.Aggregate(lambda: None, lambda s, v: (min(s[0], v), max(s[1], v)) if s else (v, v), lambda a, b: a if b is None else b if a is None else (min(a[0], b[0]), max(a[1], b[1])), lambda s: None if s is None else s[1] - s[0], "double")
+    return U.aggregate(events(spark, sf_dir).select("event_type", "value"), ["event_type"], "value", how, "spread").select("event_type", F.round("spread", 6).alias("spread"))
+
+
+@query("SELECT 'events=' || count(*) || ' kinds=' || count(DISTINCT event_type) || ' click=' || count(*) FILTER (event_type = 'click') AS line FROM events")
+def end_of_run(spark, sf_dir):
+    """What runs once with the finalised metrics."""
+    m = ME.Metrics(events(spark, sf_dir)).track("n", "inc").track("kinds", "freq", "event_type")
+    line = m.finish(lambda found: f"events={found['n']} kinds={len(found['kinds'])} click={found['kinds'].get('click', 0)}")
+    return spark.createDataFrame([(line,)], "line string")
+
+
+@query("""WITH k AS (SELECT event_type, count(*) AS c FROM events GROUP BY 1), t AS (SELECT string_agg('kinds' || chr(9) || event_type || chr(9) || c || chr(10), '' ORDER BY c DESC, event_type) AS body FROM k)
+SELECT body || 'n' || chr(9) || chr(9) || (SELECT count(*) FROM events) || chr(10) AS tsv, (SELECT 'kinds (' || count(*) || ' entries):' FROM k) AS head FROM t""")
+def metrics_report(spark, sf_dir):
+    """The report as tab-separated text, and the first line of the short form."""
+    m = ME.Metrics(events(spark, sf_dir)).track("n", "inc").track("kinds", "freq", "event_type")
+    return spark.createDataFrame([(m.text("tsv"), m.text("short").split("\n")[0])], "tsv string, head string")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM events), e AS (SELECT 'a' AS path, count(*) AS events, 'object' AS kind, CAST(count(*) AS BIGINT) AS of_kind, 2 AS max_size FROM events UNION ALL SELECT 'a.b', count(*), 'string', count(*), NULL FROM events
+UNION ALL SELECT 'a.l', count(*) FILTER (event_id % 2 = 0), 'array', count(*) FILTER (event_id % 2 = 0), 2 FROM events UNION ALL SELECT 'a.l[]', count(*) FILTER (event_id % 2 = 0), 'int', 2 * count(*) FILTER (event_id % 2 = 0), NULL FROM events UNION ALL SELECT 't', count(*), 'bool', count(*), NULL FROM events)
+SELECT path, events, round(100 * (1 - events / n), 4) AS missing_pct, kind, of_kind, max_size FROM e, n""")
+def discover_nested(spark, sf_dir):
+    """Nested fields and items of arrays, counts by kind, sizes."""
+    text = F.expr("""'{"a":{"b":"' || event_type || '"' || if(event_id % 2 = 0, ',"l":[1,' || user_id || ']', '') || '},"t":' || if(user_id % 2 = 0, 'true', 'false') || '}'""")
+    found = ME.discover(events(spark, sf_dir).select(text.alias("j")), "j")
+    return found.select("path", "events", "missing_pct", F.get("types", F.lit(0)).alias("kind"), F.element_at("kinds", F.get("types", F.lit(0))).alias("of_kind"), "max_size")
+
+
+@query("SELECT count(*) AS lines, count(*) FILTER (event_id % 5 = 0) AS parse_errors, count(*) FILTER (event_id % 5 <> 0 AND event_type <> 'click') AS filtered, count(*) FILTER (event_id % 5 <> 0 AND event_type = 'click') AS events FROM events")
+def run_counters(spark, sf_dir):
+    """Lines read, lines that are no JSON, events filtered out, events left."""
+    read = events(spark, sf_dir).select("event_type", P.json(F.expr("if(event_id % 5 = 0, 'bad', props)"), "k long").alias("r"))
+    left = read.where("r is not null and event_type = 'click'")
+    return ME.run_stats(left, read=read, parsed="r").select("lines", "parse_errors", "filtered", "events")
+
+
+@query("""SELECT CASE WHEN event_type = 'click' THEN 'filtered' ELSE 'included' END AS span_status, count(*) AS n, count(*) FILTER (event_type <> 'click') AS in_span FROM events WHERE event_id < 500 GROUP BY 1""")
+def span_filtered(spark, sf_dir):
+    """Events that a filter drops after spans were given are marked, and in no span."""
+    e = events(spark, sf_dir).where("event_id < 500").withColumn("ts", F.expr("timestamp_seconds(event_id * 10)"))
+    s = SP.span_status(SP.time_spans(e, "ts", "event_id", "1 hour"), F.col("event_type") != "click")
+    return s.groupBy("span_status").agg(F.count("*").alias("n"), F.count("span_id").alias("in_span"))
+
+
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 'session opened for <*> from <ipv4>' ELSE 'session opened for <*> from <ipv4>' END AS template FROM events WHERE event_type IN ('click', 'view')
+UNION ALL SELECT event_id, 'disk <path> at <num> percent' FROM events WHERE event_type = 'purchase')
+SELECT template, 'v1:' || substr(sha256(template), 1, 16) AS template_id, count(*) AS count, min(event_id) AS first_line, max(event_id) AS last_line FROM t GROUP BY 1""")
+def drain_merges(spark, sf_dir):
+    """Lines that differ in a word are merged at the default similarity; others are apart; lines and samples are kept."""
+    e = events(spark, sf_dir).where("event_type in ('click', 'view', 'purchase')")
+    text = F.expr("""case event_type when 'purchase' then 'disk /var/data/d' || event_id || '/x at ' || user_id || ' percent'
+        else 'session opened for ' || if(user_id % 2 = 0, 'alice', 'bob') || ' from 10.0.0.' || (user_id % 250) end""")
+    return DR.templates(e.select("event_id", text.alias("line")), "line", "event_id").drop("sample")

@@ -64,6 +64,31 @@ def field_spans(df: DataFrame, key: str, field: str, order: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, span_no long, value string, size long", "no long, value string, size long", "append", GroupStateTimeout.NoTimeout)
 
 
+def stateful(df: DataFrame, key: str, order: str, step, schema: str) -> DataFrame:
+    """The events that step(state, event) emits, one map a key, kept from batch to batch as JSON text.
+
+    Rows of a key in one batch come in their order; batches in the order of arrival.
+    """
+    import json
+
+    from pyspark.sql.types import _parse_datatype_string
+
+    from ..operators.state import State, _emitted
+
+    names = _parse_datatype_string(schema).fieldNames()
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        state = State(json.loads(kept.get[0])) if kept.exists else State()
+        rows = pd.concat(list(batches)).sort_values(order)
+        out = []
+        for event in rows.astype(object).where(rows.notna(), None).to_dict("records"):
+            out += _emitted(step(state, event))
+        kept.update((json.dumps(state),))
+        yield pd.DataFrame(out, columns=names)
+
+    return df.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there into a memory table and returns it; for tests and checks."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
