@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm import linededup, neardup, packing, secrets, toxicity
-from eventlens.llm.common import keep, table, unused
+from eventlens.llm.common import forget, keep, scratch, table, unused
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch(spark) as spare:  # a stage's own tables go once its result is written, and so does the one before it
+            docs = keep(stage(spark, before, sf_dir), name)
+            spare(docs)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

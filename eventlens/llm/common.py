@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import TaskContext
@@ -41,18 +42,41 @@ def keep(df: DataFrame, name: str, **options) -> DataFrame:
     for k, v in options.items():
         writer = writer.option(k, v)
     writer.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes tables that keep() wrote and nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_kept_at", None):
-            spark = df.sparkSession
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            _delete(df.sparkSession, path)
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end what keep() wrote inside it, but for the frames that were given to the yielded function."""
+    own: list[str] = []
+    spared: set[str] = set()
+    _SCOPES.append(own)
+    try:
+        yield lambda *frames: spared.update(f._kept_at for f in frames)
+    finally:
+        _SCOPES.pop()
+        for path in own:
+            if path not in spared:
+                _delete(spark, path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

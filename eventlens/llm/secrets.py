@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 #: How known kinds of keys begin.
 _PREFIXES = "AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|eyJ|AIza|glpat-|npm_"
@@ -45,10 +45,10 @@ _KEY = r"[A-Za-z0-9+/_\-]"
 #: '=' is part of a candidate as padding only, not where a value follows it.
 _PAD = rf"(?:={{1,2}}(?!{_KEY}|=))?"
 #: A candidate, not inside a longer run: after a secret-like name any value of 4 characters or more; elsewhere a run of
-#: 16 key characters or more, with a digit among its first 40 characters or a known prefix.
+#: 16 key characters or more, with a digit or a known prefix.
 CANDIDATE = (
     rf"(?<!{_KEY})(?:(?<=[:=> \t\"`\x27])(?=[A-Za-z0-9+/_\-!@#$%^*~.]{{4}}){_after_name()}[A-Za-z0-9+/_\-!@#$%^*~.]{{3,}}[A-Za-z0-9+/_\-!@#$%^*~]{_PAD}"
-    rf"|(?=[A-Za-z+/_\-]{{0,40}}[0-9]|(?:{_PREFIXES})){_KEY}{{16,}}{_PAD})"
+    rf"|(?=[A-Za-z+/_\-]*[0-9]|(?:{_PREFIXES})){_KEY}{{16,}}{_PAD})"
 )
 WORDS = (
     "example sample test dummy your here key token secret password user name data http https html index path file image static assets content page post article "
@@ -60,31 +60,46 @@ _NEAR_GOOD = r"(?i)(?:token|secret|passw|pwd|api[_ \-]?key|access[_ \-]?key|auth
 _NEAR_BAD = r"(?i)(?:commit|sha-?\d|checksum|digest|md5|uuid|guid|etag|hash|example|revision|build|order|invoice|isbn|phone|tracking|integrity)"
 _PREFIX = f"^(?:{_PREFIXES})"
 
+def _sql(pattern: str) -> str:
+    """A pattern as a SQL text."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _left(pattern: str, of: str = "v") -> str:
+    """The share of a text that is left without what matches."""
+    return f"length(regexp_replace({of}, {_sql(pattern)}, '')) / length(v)"
+
+
 #: Name and SQL of each feature of a candidate v between the texts before and after.
 FEATURES = {
     "f_len": "cast(length(v) as double)",
-    "f_digit": "length(regexp_replace(v, '[^0-9]', '')) / length(v)",
-    "f_upper": "length(regexp_replace(v, '[^A-Z]', '')) / length(v)",
-    "f_sign": "length(regexp_replace(v, '[A-Za-z0-9]', '')) / length(v)",
-    "f_hex": "cast(v rlike '^[0-9a-f]+$' or v rlike '^[0-9A-F]+$' as double)",
-    "f_change": "(length(regexp_replace(v, '(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])', '#')) - length(v)) / length(v)",
-    "f_distinct": "size(array_distinct(split(substring(v, 1, 64), ''))) / least(length(v), 64)",
-    "f_words": f"1 - length(regexp_replace(lower(v), '{_WORD_RE}', '')) / length(v)",
-    "f_vowels": "length(regexp_replace(lower(v), '[^aeiouy]', '')) / length(v)",
-    "f_letters": "length(regexp_extract(v, '[A-Za-z]{7,}', 0)) / length(v)",
-    "f_path": "cast(before rlike '[a-z]:/{0,2}[^ ]*$|[./~]$|/[^ ]*$' or v rlike '^/|/[a-z]{3,}/|[a-z]+/[a-z]+/' or after rlike '^[.][a-z]{2,4}\\\\b' as double)",
-    "f_uuid": "cast(v rlike '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$' as double)",
-    "f_prefix": f"cast(v rlike '{_PREFIX}' as double)",
-    "f_good": f"cast(before rlike '{_NEAR_GOOD}' as double)",
-    "f_bad": f"cast(before rlike '{_NEAR_BAD}' or after rlike '^.?.?(?i)(?:example|checksum|commit)' as double)",
-    "f_assign": "cast(before rlike '(?:[:=]|=>)[ \\t]*[\"`\\x27]?$' as double)",
-    "f_quote": "cast(before rlike '[\"`\\x27]$' and after rlike '^[\"`\\x27]' as double)",
+    "f_digit": _left("[^0-9]"),
+    "f_upper": _left("[^A-Z]"),
+    "f_sign": _left("[A-Za-z0-9]"),
+    "f_hex": f"cast(v rlike {_sql('^[0-9a-f]+$')} or v rlike {_sql('^[0-9A-F]+$')} as double)",
+    "f_change": f"(length(regexp_replace(v, {_sql('(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])')}, '#')) - length(v)) / length(v)",
+    "f_distinct": "size(array_distinct(split(v, ''))) / least(length(v), 64)",
+    "f_words": f"1 - {_left(_WORD_RE, 'lower(v)')}",
+    "f_vowels": _left("[^aeiouy]", "lower(v)"),
+    "f_letters": f"length(regexp_extract(v, {_sql('[A-Za-z]{7,}')}, 0)) / length(v)",
+    "f_path": f"cast(before rlike {_sql('[a-z]:/{0,2}[^ ]*$|[./~]$|/[^ ]*$')} or v rlike {_sql('^/|/[a-z]{3,}/|[a-z]+/[a-z]+/')} or after rlike {_sql(r'^[.][a-z]{2,4}\b')} as double)",
+    "f_uuid": f"cast(v rlike {_sql('^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')} as double)",
+    "f_prefix": f"cast(v rlike {_sql(_PREFIX)} as double)",
+    "f_good": f"cast(before rlike {_sql(_NEAR_GOOD)} as double)",
+    "f_bad": f"cast(before rlike {_sql(_NEAR_BAD)} or after rlike {_sql('^.?.?(?i)(?:example|checksum|commit)')} as double)",
+    "f_assign": "cast(before rlike " + _sql("(?:[:=]|=>)[ \t]*[\"`']?$") + " as double)",
+    "f_quote": "cast(before rlike " + _sql("[\"`']$") + " and after rlike " + _sql("^[\"`']") + " as double)",
 }
 TREES, DEPTH = 24, 6
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """(v, before, after, label): findings labelled 1 where they are secrets, generated by kind from a seeded hash."""
+    """(v, before, after, label): findings labelled 1 where they are secrets, generated by kind from a seeded hash.
+
+    The tables hold no labelled findings. The kinds are written from public knowledge: how providers describe their keys,
+    how assignments and headers look, and what scanners are known to report wrongly (digests, identifiers, paths, names in
+    code, placeholders, long numbers). They were not taken from the texts that are scanned.
+    """
     hexes = "lower(hex(unhex(md5(concat('{s}', id)))))"
     h = lambda s, n: f"substring(concat({hexes.format(s=s)}, {hexes.format(s=s + 'x')}, {hexes.format(s=s + 'y')}), 1, {n})"
     b64 = lambda s, n: f"substring(translate(base64(unhex(concat({hexes.format(s=s)}, {hexes.format(s=s + 'q')}, {hexes.format(s=s + 'r')}))), '+/', '{{}}'), 1, {n})"
@@ -145,24 +160,35 @@ def train_forest(findings: DataFrame, seed: int = 5) -> str:
     return "(" + " + ".join(trees) + f") / {float(len(trees))}D"
 
 
-def scan(docs: DataFrame, forest: str, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with __gaps (the texts between candidates) and __found: an array of (v, score, secret), one for each candidate.
+#: Neighbouring words that a finding is judged by.
+WORDS_BEFORE, WORDS_AFTER = 7, 3
+
 
-    Null and empty texts have no candidates.
+def scan(docs: DataFrame, forest: str, text_col: str = "text", threshold: float = 0.5, names: tuple[str, str] | None = None) -> DataFrame:
+    """docs with two columns (of the given names, else __gaps and __found): the texts between candidates, and an array of
+    (v, score, secret), one for each candidate in order. Other columns stay, whatever their names.
+
+    Null and empty texts have no candidates; values that occur repeatedly are judged each in its place; repeated rows are
+    scanned each; an empty table gives no rows. A text of any length is scanned whole.
     """
     pattern = CANDIDATE.replace("\\", "\\\\")
-    own = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    parts = own.withColumn("__v", F.expr(f"regexp_extract_all(__text, '{pattern}', 0)"))
-    parts = parts.withColumn("__gaps", F.when(F.size("__v") > 0, F.split("__text", CANDIDATE, -1)))
+    whole, values = unused(docs, "__text"), unused(docs, "__v")
+    gaps, found = names or ("__gaps", "__found")
+    own = docs.withColumn(whole, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    parts = own.withColumn(values, F.expr(f"regexp_extract_all({whole}, '{pattern}', 0)"))
+    parts = parts.withColumn(gaps, F.when(F.size(values) > 0, F.split(whole, CANDIDATE, -1)))
     struct = ", ".join(f"'{n}', cast({sql} as double)" for n, sql in FEATURES.items())
+    plain = "translate({}, '\\n\\t\\r', '   ')"
+    before = f"substring_index(concat(if(i > 0, {values}[i - 1], ''), {plain.format(f'{gaps}[i]')}), ' ', -{WORDS_BEFORE})"
+    after = f"substring_index({plain.format(f'{gaps}[i + 1]')}, ' ', {WORDS_AFTER})"
     sql = (
-        "transform(transform(transform(__v, (v, i) -> named_struct('v', v, 'before', right(concat(if(i > 0, __v[i - 1], ''), __gaps[i]), 48), 'after', left(__gaps[i + 1], 24))),"
+        f"transform(transform(transform({values}, (v, i) -> named_struct('v', v, 'before', {before}, 'after', {after})),"
         f" s -> named_struct('v', s.v, {_in_struct(struct)})),"
         f" c -> named_struct('v', c.v, 'score', {forest}))"
     )
-    found = parts.withColumn("__found", F.expr(sql))
-    marked = F.expr(f"transform(__found, c -> named_struct('v', c.v, 'score', c.score, 'secret', c.score >= {threshold}D))")
-    return found.withColumn("__found", marked).drop("__text", "__v")
+    out = parts.withColumn(found, F.expr(sql))
+    marked = F.expr(f"transform({found}, c -> named_struct('v', c.v, 'score', c.score, 'secret', c.score >= {threshold}D))")
+    return out.withColumn(found, marked).drop(whole, values)
 
 
 def _in_struct(sql: str) -> str:
@@ -175,19 +201,27 @@ def _in_struct(sql: str) -> str:
 
 def redact(docs: DataFrame, forest: str, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret in text_col replaced by mark; all rows and columns stay, null texts stay null."""
-    names = docs.columns
-    found = scan(docs, forest, text_col)
-    filled = F.expr(f"concat(array_join(zip_with(slice(__gaps, 1, size(__found)), __found, (g, c) -> concat(g, if(c.secret, '{mark}', c.v))), ''), element_at(__gaps, -1))")
-    text = F.when(F.expr("exists(__found, c -> c.secret)"), filled).otherwise(F.col(text_col))
-    return found.select(*[text.alias(c) if c == text_col else F.col(c) for c in names])
+    gaps, found = unused(docs, "__gaps"), unused(docs, "__found")
+    scanned = scan(docs, forest, text_col, names=(gaps, found))
+    filled = F.expr(f"concat(array_join(zip_with(slice({gaps}, 1, size({found})), {found}, (g, c) -> concat(g, if(c.secret, '{mark}', c.v))), ''), element_at({gaps}, -1))")
+    text = F.when(F.expr(f"exists({found}, c -> c.secret)"), filled).otherwise(F.col(f"`{text_col}`"))
+    return scanned.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
+def starts_of(gaps: str = "__gaps", found: str = "__found"):
+    """Array of the candidates' first places. Sums are carried over blocks of 64, so it is linear but for a 4096th."""
+    steps = f"zip_with(slice({gaps}, 1, size({found})), {found}, (g, c) -> length(g) + length(c.v))"
+    return F.expr(
+        f"""transform(array({steps}), s -> transform(array(aggregate(transform(sequence(0, greatest(0, (size(s) - 1) div 64)), j -> aggregate(slice(s, j * 64 + 1, 64), 0, (a, x) -> a + x)),
+        named_struct('at', 0, 'all', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + x, 'all', concat(a.all, array(a.at)))).all), b ->
+        transform(s, (x, i) -> b[i div 64] + aggregate(slice(s, (i div 64) * 64 + 1, i % 64), 0, (a, y) -> a + y) + length({gaps}[i])))[0])[0]"""
+    )
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each candidate of each document: doc_id, nth, start (code points), length, value_sha256, score, is_secret."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan(docs, train_forest(labelled_findings(spark))).select("doc_id", "__gaps", "__found")
-    # start of candidate i: the lengths of what stands before it; one pass that carries the running sum
-    starts = F.expr("""aggregate(zip_with(__gaps, __found, (g, c) -> named_struct('g', length(g), 'n', coalesce(length(c.v), 0))),
-        named_struct('at', 0, 'all', array()), (a, x) -> named_struct('at', a.at + x.g + x.n, 'all', concat(a.all, array(a.at + x.g)))).all""".replace("array())", "cast(array() as array<int>))", 1))
-    each = found.where(F.size("__found") > 0).withColumn("__starts", starts).select("doc_id", "__starts", F.posexplode("__found").alias("nth", "c"))
-    return each.select("doc_id", "nth", F.expr("__starts[nth]").alias("start"), F.length("c.v").alias("length"), F.sha2("c.v", 256).alias("value_sha256"), "c.score", F.col("c.secret").alias("is_secret"))
+    placed = F.arrays_zip(starts_of().alias("start"), F.col("__found").alias("c"))
+    each = found.where(F.size("__found") > 0).select("doc_id", F.posexplode(placed).alias("nth", "p")).select("doc_id", "nth", "p.start", "p.c")
+    return each.select("doc_id", "nth", "start", F.length("c.v").alias("length"), F.sha2("c.v", 256).alias("value_sha256"), "c.score", F.col("c.secret").alias("is_secret"))

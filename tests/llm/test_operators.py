@@ -51,6 +51,32 @@ def test_neardup_chain(spark):
     assert {r.component for r in neardup.near_duplicates(df).collect()} == {0}
 
 
+@pytest.mark.parametrize("block,hot,bits", [(4, 6, 1 << 20), (3, 10_000, 0)])
+def test_neardup_large_buckets(spark, monkeypatch, block, hot, bits):
+    """Many members a block, large buckets told apart by a second band, sets without bits: the classes of brute force."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "MOST_BITS", bits)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = [list(rng.choice(words, 120)) for _ in range(4)]
+    texts = []
+    for i in range(120):
+        w = base[i % 4][:]
+        for at in rng.integers(0, 120, rng.integers(0, 6)):
+            w[at] = f"x{i}"
+        texts.append(" ".join(w))
+    sets = [{" ".join(t.split()[j : j + 4]) for j in range(117)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc: r.component for r in neardup.near_duplicates(df, k=4).collect()} == dict(enumerate(root))
+
+
 def test_registers_merge():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64)) for _ in range(2))
@@ -165,13 +191,53 @@ def test_quality(spark, sf_dir, edge):
     assert quality.assess(edge.limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    key, _ = quality.grams(["the cat sat on the mat. the end"] * 3 + ["another text, with other words"])
-    k, n = np.unique(key, return_counts=True)
-    model = quality.fit(k, n)
-    for before in (int(k[3]) >> 6, int(k[-1]) >> 6, 0x155555 & 0x3FFFF):
-        keys = np.array([(before << 6 | s) & 0xFFFFFF for s in range(64)], np.uint32)
-        assert abs(np.exp(quality.log_probabilities(model, keys)).sum() - 1) < 1e-3
+def brute_surprise(texts):
+    """Modified Kneser-Ney by dictionaries of strings: each text's mean surprise per character."""
+    fold = lambda t: "".join(" " if c in " \t\n\x0b\x0c\r" else "0" if c in "0123456789" else c for c in t.lower())
+    levels = {4: Counter()}
+    all_grams = []
+    for t in texts:
+        x = "\0\0\0" + fold(t)
+        all_grams.append([x[i : i + 4] for i in range(len(x) - 3)])
+        levels[4].update(all_grams[-1])
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    p = {}
+    for n in (1, 2, 3, 4):
+        d = quality.discounts(*[sum(c == i for c in levels[n].values()) for i in (1, 2, 3, 4)])
+        total, freed = Counter(), Counter()
+        for g, c in levels[n].items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += d[min(c, 3) - 1]
+        for g, c in levels[n].items():
+            low = p[g[1:]] if n > 1 else 1 / (len(levels[1]) + 1)
+            p[g] = (c - d[min(c, 3) - 1]) / total[g[:-1]] + freed[g[:-1]] / total[g[:-1]] * low
+    return [-np.mean([np.log(p[g]) for g in gs]) if gs else None for gs in all_grams], p
+
+
+def test_perplexity_by_hand(spark):
+    texts = ["the cat sat on the mat. the end", "another text,\twith 12 words", "", "слово за слово и ещё раз слово", "λόγος και πάλι λόγος", "短い文 です 短い文", "𝕏 marks the 𝕏", "the cat sat on the mat. the end"]
+    want, p = brute_surprise(texts)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3, "doc_id")
+    got = {r.doc_id: r.perplexity for r in quality.assess(df).collect()}
+    assert set(got) == set(range(len(texts)))
+    for i, w in enumerate(want):
+        assert (got[i] is None) == (w is None) and (w is None or abs(np.log(got[i]) - w) < 1e-4), (i, got[i], w)
+    # chances of all symbols after a context that was seen, and of one more, unseen, sum to 1 in each order below the top
+    for n in (1, 2):
+        for ctx in {g[:-1] for g in p if len(g) == n}:
+            assert sum(v for g, v in p.items() if len(g) == n and g[:-1] == ctx) <= 1 + 1e-9
+
+
+@pytest.mark.parametrize("letters", ["abcdefghiklmnoprstuv", "абвгдежзиклмнопрстуф", "αβγδεζηθικλμνοπρστυ"])
+def test_salad_is_rejected(spark, letters):
+    """In every script, texts of random letters stand out from texts of the language's words."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(150)]
+    rows = [(i, " ".join(rng.choice(words, 160)), "xx") for i in range(160)]
+    rows += [(1000 + i, "".join(rng.choice(list(letters + "  "), 900)), "xx") for i in range(4)]
+    out = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(out[1000 + i].kept for i in range(4)) and sum(out[i].kept for i in range(160)) >= 158
 
 
 def test_secrets(spark, sf_dir, edge):
@@ -194,6 +260,44 @@ def test_secrets(spark, sf_dir, edge):
     assert right > 0.95
 
 
+def brute_features(v, before, after):
+    """FEATURES of a finding by hand."""
+    share = lambda p, x=v: len(re.findall(p, x)) / len(v)
+    kind = lambda c: "d" if c in "0123456789" else "u" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "s"
+    changes = sum((a, b) in {("l", "d"), ("u", "d"), ("d", "l"), ("d", "u"), ("l", "u"), ("u", "l")} for a, b in zip(map(kind, v), map(kind, v[1:])))
+    run = re.search("[A-Za-z]{7,}", v)
+    left = re.sub(secrets._WORD_RE, "", v.lower())
+    return {
+        "f_len": len(v), "f_digit": share("[0-9]"), "f_upper": share("[A-Z]"), "f_sign": share("[^A-Za-z0-9]"), "f_hex": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)), "f_change": changes / len(v),
+        "f_distinct": len(set(v)) / min(len(v), 64), "f_words": 1 - len(left) / len(v), "f_vowels": share("[aeiouy]", v.lower()), "f_letters": len(run[0]) / len(v) if run else 0.0,
+        "f_path": bool(re.search("[a-z]:/{0,2}[^ ]*$|[./~]$|/[^ ]*$", before) or re.search("^/|/[a-z]{3,}/|[a-z]+/[a-z]+/", v) or re.search(r"^[.][a-z]{2,4}\b", after)),
+        "f_uuid": bool(re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", v)), "f_assign": bool(re.search("(?:[:=]|=>)[ \t]*[\"`']?$", before)), "f_quote": bool(re.search("[\"`']$", before) and re.search("^[\"`']", after)),
+    }
+
+
+def test_secret_features_by_hand(spark):
+    rows = secrets.labelled_findings(spark, 1500).selectExpr("v", "before", "after", *[f"cast({sql} as double) as {n}" for n, sql in secrets.FEATURES.items()]).collect()
+    for r in rows:
+        for name, want in brute_features(r.v, r.before, r.after).items():
+            assert abs(r[name] - float(want)) < 1e-9, (name, r)
+
+
+def test_secret_edges(spark):
+    """Clashing names, repeated and long texts, many candidates in one text, a late digit; places by hand."""
+    forest = secrets.train_forest(secrets.labelled_findings(spark))
+    late = "aBcDeFgHiJ" * 5 + "0123456789"
+    many = " ".join(f"id {i:020d}" for i in range(300))
+    texts = [late, many, "x " * 40_000 + f'token = "{late}"', late, None, "", "=" * 50, "a" * 100_000]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, __v int, __text int, __gaps int")
+    out = secrets.redact(df, forest)
+    assert out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} == {(1, 2, 3)}
+    found = secrets.scan(df.select("doc_id", "text"), forest)
+    got = {r.doc_id: list(zip(r.s or [], [c.v for c in r["__found"]])) for r in found.select("doc_id", "__found", F.when(F.size("__found") > 0, secrets.starts_of()).alias("s")).collect()}
+    assert got == {i: [(m.start(), m[0]) for m in re.finditer(secrets.CANDIDATE, t or "")] for i, t in enumerate(texts)}
+    assert len(got[1]) == 300 and got[0] == [(0, late)] == got[3]
+    assert secrets.scan(df.limit(0), forest).count() == 0
+
+
 def test_secrets_after_names(spark):
     """Values after '=', short ones and ones without digits are candidates, and the forest calls them secrets."""
     values = {
