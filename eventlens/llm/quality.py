@@ -1,8 +1,10 @@
-"""Quality rules: base counts, and character n-gram perplexity inside bands of the language.
+"""Quality rules: base counts, and n-gram perplexity inside bands of the language.
 
-A modified Kneser-Ney model of 4 characters is counted by Spark over all texts. Characters fold to 64 symbols, so a
-4-gram is a 24-bit key and the model can never hold more than 2^24 of them, whatever the corpus: that bounds what is
-collected and broadcast. It is stored as sorted key arrays with probabilities and backoff weights beside them.
+The model is modified Kneser-Ney over 4 characters, of all scripts: lower-cased code points, digits alike, white space
+alike. Spark counts it over all texts, works out the probabilities of all orders by joins, and keeps them as a table of
+(hash, log probability) in sorted ranges on the shared storage. It grows with the corpus, so no task, and not the driver,
+ever holds it whole: the different 4-grams of each stretch of texts ask it for their values by one join, and each
+stretch's texts are scored against the sorted arrays that come back.
 """
 
 from __future__ import annotations
@@ -12,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, keep, table
+from .common import BLANKS, forget, keep, table
 from .tokens import in_small_batches
 
-ORDER, BITS, SYMBOLS = 4, 6, 64
+ORDER = 4
 #: A band reaches from the language's median this many quartile distances down and up.
 BELOW, ABOVE = 7.0, 7.0
 #: Least quartile distance, in nats, so that a corpus of copies doesn't reject all that differs.
@@ -23,30 +25,26 @@ LEAST_SPREAD = 0.01
 
 
 def _symbols() -> np.ndarray:
-    out = np.full(1025, 61, np.uint32)
-    out[:128] = 60
-    for i, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        out[ord(c)] = out[ord(c.upper())] = 2 + i
-    for i, c in enumerate("àâäáãåæçéèêëíîïìñóôöòúûüß"):
-        out[ord(c)] = 28 + i
-        if len(c.upper()) == 1:
-            out[ord(c.upper())] = 28 + i
-    for s, chars in ((1, BLANKS), (53, "0123456789"), (54, "."), (55, ","), (56, ";:!?"), (57, "\"'`«»"), (58, "-_"), (59, "#*$%&|<>[]{}()")):
-        for c in chars:
-            out[ord(c)] = s
-    out[1024] = 62
+    """A 16-bit symbol for each code point below 2^16: itself, but white space and digits are alike."""
+    out = np.arange(1 << 16, dtype=np.uint64)
+    out[[ord(c) for c in BLANKS]] = ord(" ")
+    out[ord("0") : ord("9") + 1] = ord("0")
+    out[0] = 1  # 0 stands before a text
     return out
 
 
 _TABLE = _symbols()
-_MASK = np.uint32((1 << (ORDER * BITS)) - 1)
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each character with the three before it, of all texts in a row, and each text's number of characters."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = _TABLE[np.minimum(cps, 1024)]
+    """Hashes of each character with the three before it, of all texts in a row, and each text's number of characters.
+
+    A hash is the four symbols in a row; code points beyond 16 bits share the 6400 private ones, which texts don't use.
+    """
+    lower = [t.lower() for t in texts]
+    sizes = np.array([len(t) for t in lower], np.int64)
+    cps = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = _TABLE[np.where(cps < 1 << 16, cps, 0xE000 + cps % 0x1900)]
     key = s.copy()
     starts = np.cumsum(sizes) - sizes
     at = np.arange(len(s)) - np.repeat(starts, sizes) if len(s) else np.zeros(0, np.int64)
@@ -54,80 +52,73 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         before = np.zeros_like(s)
         before[d:] = s[:-d] if d < len(s) else s[:0]
         before[at < d] = 0
-        key |= before << np.uint32(d * BITS)
-    return key, sizes
+        key |= before << np.uint64(16 * d)
+    return key.view(np.int64), sizes
 
 
 def _count(batches):
+    """(block, key, n): the different 4-grams of a task's texts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    block = None
 
     def merged():
         k, n = (np.concatenate(x) for x in zip(*held))
         keys, inv = np.unique(k, return_inverse=True)
         return keys, np.bincount(inv, weights=n).astype(np.int64)
 
-    for b in in_small_batches(batches, 0):
-        key, _ = grams([t for t in b.column(0).to_pylist() if t])
+    for b in in_small_batches(batches, 3):
+        if b.num_rows:
+            block = b.column(0)[0].as_py()
+        key, _ = grams([t for t in b.column(3).to_pylist() if t])
         if len(key):
-            k, n = np.unique(key, return_counts=True)
-            held.append((k, n))
+            held.append(np.unique(key, return_counts=True))
         if len(held) > 16:
             held[:] = [merged()]
     if held:
         k, n = merged()
         for i in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000].astype(np.int64)), pa.array(n[i : i + 100_000])], names=["key", "n"])
+            part = k[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part), pa.array(n[i : i + 100_000])], names=["block", "key", "n"])
 
 
-def _discounts(c: np.ndarray) -> np.ndarray:
-    n = [max(1, int((c == i).sum())) for i in (1, 2, 3, 4)]
+def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
+    """What is taken off counts of 1, 2, and 3 and more, from how many counts of 1 to 4 there are."""
+    n = [max(1, x) for x in (ones, twos, threes, fours)]
     y = n[0] / (n[0] + 2 * n[1])
-    d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
-    return np.array([0.0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))])
+    d = 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]
+    return tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))
 
 
-def fit(keys: np.ndarray, counts: np.ndarray) -> list[dict]:
-    """Modified Kneser-Ney tables of orders 1 to ORDER from the counts of the top order.
+def fit(counts: DataFrame) -> DataFrame:
+    """(key, lp): natural log probability of each 4-gram's last symbol after the ones before it; counts: (key, n).
 
-    Each has sorted keys with interpolated probabilities, and sorted contexts with the weight of the next lower order.
+    Counts below the top order are of different symbols before. Each order interpolates with the one below it, the
+    lowest with even chances of all symbols. Every step is an aggregate or an equi-join over different grams.
     """
-    levels = [(keys.astype(np.uint32), counts.astype(np.float64))]
-    for n in range(ORDER - 1, 0, -1):  # counts below the top: distinct symbols before
-        k, c = np.unique(levels[0][0] & np.uint32((1 << (n * BITS)) - 1), return_counts=True)
-        levels.insert(0, (k, c.astype(np.float64)))
-    out: list[dict] = []
-    for n, (k, c) in enumerate(levels, 1):
-        order = np.argsort(k)
-        k, c = k[order], c[order]
-        d = _discounts(c)
-        cut = d[np.minimum(c, 3).astype(int)]
-        ctx, inv = np.unique(k >> np.uint32(BITS), return_inverse=True)
-        total, freed = np.bincount(inv, c), np.bincount(inv, cut)
-        gamma = freed / total
-        lower = np.full(len(k), 1 / SYMBOLS) if n == 1 else out[-1]["p"][np.searchsorted(out[-1]["k"], k & np.uint32((1 << ((n - 1) * BITS)) - 1))]
-        out.append({"k": k, "p": (c - cut) / total[inv] + gamma[inv] * lower, "ctx": ctx, "gamma": gamma})
-    return [{a: (v.astype(np.float32) if v.dtype == np.float64 else v) for a, v in t.items()} for t in out]
-
-
-def log_probabilities(model: list[dict], key: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each key's last symbol after the ones before it."""
-    p = np.ones(len(key), np.float32)
-    open_ = np.arange(len(key))
-    for n in range(len(model), 0, -1):
-        t = model[n - 1]
-        k = key[open_] & np.uint32((1 << (n * BITS)) - 1)
-        i = np.minimum(np.searchsorted(t["k"], k), len(t["k"]) - 1)
-        hit = t["k"][i] == k
-        p[open_[hit]] *= t["p"][i[hit]]
-        open_, k = open_[~hit], k[~hit]
-        if not len(open_):
-            break
-        c = k >> np.uint32(BITS)
-        i = np.minimum(np.searchsorted(t["ctx"], c), len(t["ctx"]) - 1)
-        p[open_] *= np.where(t["ctx"][i] == c, t["gamma"][i], np.float32(1))
-    else:
-        p[open_] *= 1 / SYMBOLS
-    return np.log(np.maximum(p, 1e-12))
+    levels = {ORDER: counts.select("key", "n")}
+    for n in range(ORDER - 1, 0, -1):
+        mask = (1 << (16 * n)) - 1
+        levels[n] = keep(levels[n + 1].groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.count("*").alias("n")), f"order{n}")
+    symbols = levels[1].count() + 1
+    lower = None
+    for n in range(1, ORDER + 1):
+        t = levels[n]
+        ones = t.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first()
+        d = discounts(*ones)
+        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        t = t.select("key", (F.col("n") - cut).alias("rest"), "n", cut.alias("cut"), F.shiftrightunsigned("key", 16).alias("ctx"))
+        sums = t.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
+        t = t.join(sums, "ctx")
+        if lower is None:
+            p = F.col("rest") / F.col("total") + F.col("freed") / F.col("total") / symbols
+        else:
+            t = t.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << (16 * (n - 1))) - 1))).join(lower, "low")
+            p = F.col("rest") / F.col("total") + F.col("freed") / F.col("total") * F.col("p")
+        lower = t.select(F.col("key").alias("low"), p.alias("p"))
+    model = lower.select(F.col("low").alias("key"), F.log("p").cast("float").alias("lp"))
+    kept = keep(model.repartitionByRange("key").sortWithinPartitions("key"), "model")
+    forget(*[levels[n] for n in range(1, ORDER)])
+    return kept
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -161,36 +152,60 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def _facts(model):
-    def run(batches):
-        tables = model.value
-        for b in in_small_batches(batches, 2):
-            texts = b.column(2).to_pylist()
-            rows = [base_counts(t) for t in texts]
-            key, sizes = grams([t or "" for t in texts])
-            surprise = np.full(len(texts), np.nan)
-            if len(key) and tables:
-                lp = np.r_[0.0, np.cumsum(log_probabilities(tables, key), dtype=np.float64)]
-                ends = np.cumsum(sizes)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    surprise = -(lp[ends] - lp[ends - sizes]) / sizes
-            cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(surprise, from_pandas=True)], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise"])
-
-    return run
+def _score_texts(b: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    texts = b.column("text").to_pylist()
+    rows = [base_counts(t) for t in texts]
+    key, sizes = grams([t or "" for t in texts])
+    surprise = np.full(len(texts), np.nan)
+    if len(key):
+        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+        if not len(keys) or (keys[at] != key).any():
+            raise RuntimeError("texts moved between two readings of the table")
+        lp = np.r_[0.0, np.cumsum(values[at], dtype=np.float64)]
+        ends = np.cumsum(sizes)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            surprise = -(lp[ends] - lp[ends - sizes]) / sizes
+    cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise"]
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *cols, pa.array(surprise, from_pandas=True)], names=names)
+
+
+def _facts(batches):
+    """Rows come by block, its 4-grams' values first, then its texts."""
+    block, held, sorted_ = None, [], None
+    for b in in_small_batches(batches, 6):
+        blocks, kinds = b.column("block").to_numpy(), b.column("kind").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (np.diff(blocks) != 0) | (np.diff(kinds) != 0)]) if len(blocks) else []
+        for i, j in zip(cuts, np.r_[cuts[1:], len(blocks)] if len(blocks) else []):
+            if blocks[i] != block:
+                block, held, sorted_ = blocks[i], [], None
+            part = b.slice(i, j - i)
+            if kinds[i] == 0:
+                held.append((part.column("key").to_numpy(), part.column("lp").to_numpy()))
+                continue
+            if sorted_ is None:
+                k, v = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+                order = np.argsort(k)
+                sorted_, held = (k[order], v[order]), []
+            yield _score_texts(part, *sorted_)
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, the base counts, perplexity, base_failed and kept of every row.
 
     Null and empty texts have zero counts, no perplexity, and fail. A null language is a language of its own. Rows
-    repeated with one id come back each. An empty table gives no rows.
+    repeated with one id come back each. An empty table gives no rows. docs is read twice and must be a table as read or
+    written: its partitions are the blocks that ask the model.
     """
-    spark = docs.sparkSession
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    model = spark.sparkContext.broadcast(fit(counted["key"].to_numpy(), counted["n"].to_numpy()) if len(counted) else [])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    facts = keep(rows.mapInArrow(_facts(model), "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double"), "facts")
+    rows = docs.select(F.spark_partition_id().alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+    asked = keep(rows.mapInArrow(_count, "block int, key long, n long"), "grams")
+    model = fit(asked.groupBy("key").agg(F.sum("n").alias("n")))
+    null = lambda t: F.lit(None).cast(t)
+    answers = asked.join(model, "key").select("block", F.lit(0).alias("kind"), "key", "lp", null("long").alias("doc_id"), null("string").alias("lang"), null("string").alias("text"))
+    texts = rows.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("float").alias("lp"), "doc_id", "lang", "text")
+    both = answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+    facts = keep(both.mapInArrow(_facts, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double"), "facts")
+    forget(asked, model)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     facts = facts.withColumn("base_failed", failed)
     # rounding bounds the distinct values that the exact percentile holds for a language
