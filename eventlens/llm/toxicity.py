@@ -23,15 +23,16 @@ from pyspark.sql import functions as F
 
 from .common import forget, keep, table
 
-DECAY = 0.6
+#: Each letter that a triple spans costs the factor DECAY; triples span SPAN letters at most (longer ones would weigh under a hundredth).
+DECAY, SPAN = 0.6, 9
 #: Letters of a window; longer words are taken in windows that overlap by half.
 WIDTH = 24
 #: Rows the classifier is fitted on at most: toxic and other ones.
 MOST_TOXIC, MOST_OTHER = 6000, 14_000
 #: Landmarks at most; one for each LABELS_PER_LANDMARK toxic rows, and at least LEAST_LANDMARKS. Strings considered for them.
-MOST_LANDMARKS, LEAST_LANDMARKS, LABELS_PER_LANDMARK, CLEAN_LANDMARKS, CANDIDATES = 72, 36, 8, 6, 1500
+MOST_LANDMARKS, LEAST_LANDMARKS, LABELS_PER_LANDMARK, CLEAN_LANDMARKS, CANDIDATES = 60, 36, 8, 6, 1500
 #: Words a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 #: Three short words that begin with a letter in a row; words_of() looks closer.
 _SPACED = re.compile(r"(?<!\S)[^\W\d_]\S?(?:\s+[^\W\d_]\S?){2}(?!\S)")
@@ -74,8 +75,8 @@ def _by_length(words: list[str]):
 
 
 def _triples(length: int) -> tuple[np.ndarray, ...]:
-    """Places i < j < k of all triples of a word, and their weights."""
-    i, j, k = (np.array(x) for x in zip(*combinations(range(length), 3)))
+    """Places i < j < k of the triples of a word, and their weights."""
+    i, j, k = (np.array(x) for x in zip(*(t for t in combinations(range(length), 3) if t[2] - t[0] < SPAN)))
     return i, j, k, DECAY ** (k - i + 1)
 
 
@@ -85,36 +86,27 @@ def own_kernel(c: np.ndarray) -> np.ndarray:
     It depends on which letters are equal alone, so each pattern of equal letters is worked out once.
     """
     n, length = c.shape
-    if length > 15 or n < 2:
-        return _own_kernel(c)
-    pattern = np.zeros(n, np.int64)
-    for b in range(1, length):
+    pattern = np.empty((length, n), np.int8)
+    mark = np.zeros(n, np.uint64)
+    columns = np.ascontiguousarray(c.T)
+    for b in range(length):
         first = np.full(n, b, np.int8)
         for a in range(b - 1, -1, -1):
-            first[c[:, a] == c[:, b]] = a
-        pattern |= first.astype(np.int64) << (4 * b)
-    _, one, which = np.unique(pattern, return_index=True, return_inverse=True)
-    return _own_kernel(c[one])[which]
-
-
-def _own_kernel(c: np.ndarray) -> np.ndarray:
-    """M(a, b) sums matching subsequences that end at letters a and b, D(a, b) those that end before both, with their decay."""
-    n, length = c.shape
-    equal = {(a, b): (c[:, a] == c[:, b]).astype(np.float64) for a in range(length) for b in range(a, length)}
-    m = {ab: e * DECAY**2 for ab, e in equal.items()}
-    total = np.zeros(n)
-    zero = np.zeros(n)
-    for order in (2, 3):
-        d, new = {}, {}
-        at = lambda x, a, b: zero if min(a, b) < 0 else x[(a, b) if a <= b else (b, a)]  # noqa: E731  both are symmetric
-        for a in range(length):
-            for b in range(a, length):
-                d[a, b] = DECAY**2 * (at(m, a - 1, b - 1) - at(d, a - 1, b - 1)) + DECAY * (at(d, a - 1, b) + at(d, a, b - 1)) if a else zero
-                new[a, b] = equal[a, b] * d[a, b]
-        m = new
-    for (a, b), x in m.items():
-        total += x if a == b else 2 * x
-    return total
+            first[columns[a] == columns[b]] = a
+        pattern[b] = first
+        with np.errstate(over="ignore"):
+            mark = (mark + first.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    _, one, which = np.unique(mark, return_index=True, return_inverse=True)
+    i, j, k, w = _triples(length)
+    p = pattern[:, one].astype(np.int32).T
+    code = (p[:, i] << 10) | (p[:, j] << 5) | p[:, k]
+    order = np.argsort(code, axis=1)
+    code, weight = np.take_along_axis(code, order, 1), w[order]
+    new = np.ones(code.shape, bool)
+    new[:, 1:] = code[:, 1:] != code[:, :-1]
+    at = np.flatnonzero(new)
+    sums = np.add.reduceat(weight.ravel(), at)
+    return np.bincount(at // len(i), sums * sums, len(one))[which]
 
 
 class Landmarks:
@@ -202,7 +194,7 @@ class WordMap:
         """z of each word; of a long word's windows the best value for each landmark counts."""
         found = list(map(letters, words))
         short = [x if len(x) <= WIDTH else "" for x in found]
-        out = np.concatenate([against(short[a : a + 100_000], self.landmarks) for a in range(0, len(short), 100_000)] or [np.zeros((0, self.m), np.float32)])
+        out = np.concatenate([against(short[a : a + 25_000], self.landmarks) for a in range(0, len(short), 25_000)] or [np.zeros((0, self.m), np.float32)])
         long = [i for i, x in enumerate(found) if len(x) > WIDTH]
         parts, first = [], []
         for x in map(found.__getitem__, long):
@@ -215,22 +207,33 @@ class WordMap:
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
         """Each text's maxima over its words' maps, then the logarithm of their sum per 100 words (of 50 words at least)."""
+        out = np.zeros((len(texts), 2 * self.m), np.float32)
+        first = size = 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size > 1_000_000 or i == len(texts) - 1:  # a stretch at a time: its new words are mapped together
+                self._pool(texts[first : i + 1], out[first : i + 1])
+                first, size = i + 1, 0
+        return out
+
+    def _pool(self, texts: list[str | None], out: np.ndarray) -> None:
         if len(self.row) > REMEMBERED:
             self.forget()
         known = len(self.row)
         rows = [np.fromiter(map(self.row.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts)]
         new = list(islice(self.row, known, None))
-        while len(self.row) > len(self.z):
-            self.z = np.concatenate([self.z, np.zeros_like(self.z)])
-        self.z[known : len(self.row)] = self.maps(new)
-        out = np.zeros((len(texts), 2 * self.m), np.float32)
+        if len(self.row) > len(self.z):
+            self.z = np.concatenate([self.z, np.zeros((len(self.row) - len(self.z) + (1 << 15), self.m), np.float32)])
+        for a in range(0, len(new), 25_000):
+            self.z[known + a : known + a + 25_000][: len(new) - a] = self.maps(new[a : a + 25_000])
         for i, r in enumerate(rows):
-            if len(r):
-                z = self.z[r]
-                out[i, : self.m] = z.max(0)
-                mean = z.sum(0) * (100 / max(50, len(r)))
-                out[i, self.m :] = np.sign(mean) * np.log1p(np.abs(mean))
-        return out
+            total = np.zeros(self.m)
+            for a in range(0, len(r), 50_000):
+                z = self.z[r[a : a + 50_000]]
+                out[i, : self.m] = np.maximum(out[i, : self.m], z.max(0)) if a else z.max(0)
+                total += z.sum(0, dtype=np.float64)
+            total *= 100 / max(50, len(r))
+            out[i, self.m :] = np.sign(total) * np.log1p(np.abs(total))
 
 
 def _starts(x: str) -> list[str]:

@@ -342,7 +342,8 @@ def brute_kernel(a, b):
     def triples(w):
         out = defaultdict(float)
         for i, j, k in combinations(range(len(w)), 3):
-            out[w[i], w[j], w[k]] += toxicity.DECAY ** (k - i + 1)
+            if k - i < toxicity.SPAN:
+                out[w[i], w[j], w[k]] += toxicity.DECAY ** (k - i + 1)
         return out
 
     x, y = triples(a), triples(b)
