@@ -2,13 +2,17 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from eventlens.operators import drain as DR
 from eventlens.operators import events as EV
+from eventlens.operators import metrics as ME
 from eventlens.operators import outputs as O
 from eventlens.operators import spans as SP
+from eventlens.operators import state as ST
 from eventlens.operators import timeargs
-from eventlens.plans.pipeline import Events, run_spec
+from eventlens.plans.pipeline import Events, load_config, run_spec
 from eventlens.sources import formats as P
 from eventlens.sources import lines as LN
 from eventlens.streaming import live
@@ -58,10 +62,117 @@ def test_multiline_and_sections(spark):
 
 
 def test_read_lines(spark, tmp_path):
-    (tmp_path / "a.log").write_text("one\ntwo\n")
-    (tmp_path / "b.log").write_text("three\n")
-    df = LN.read_lines(spark, [str(tmp_path / "b.log"), str(tmp_path / "a.log")])
-    assert df.count() == 3
+    """Folders, globs and names with blanks; files keep their order and true names, lines their numbers, split or not."""
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.log").write_text("one\ntwo\n")
+    (tmp_path / "d" / "b c.log").write_text("".join(f"line {i}\n" for i in range(6)))
+    (tmp_path / "z.log").write_text("three\n")
+    rows = LN.read_lines(spark, [str(tmp_path / "z.log"), str(tmp_path / "d"), str(tmp_path / "none.log")]).orderBy("_seq").collect()
+    assert [(r.value, r._file.rsplit("/", 1)[1], r._line_num) for r in rows] == [("three", "z.log", 1), ("one", "a.log", 1), ("two", "a.log", 2), *[(f"line {i}", "b c.log", i + 1) for i in range(6)]]
+    by_name = LN.read_lines(spark, [str(tmp_path / "z.log"), str(tmp_path / "d" / "*.log")], "name").orderBy("_seq").collect()
+    assert [r.value for r in by_name] == ["one", "two", *[f"line {i}" for i in range(6)], "three"]
+    with pytest.raises(FileNotFoundError):
+        LN.read_lines(spark, [str(tmp_path / "none.log")], strict=True)
+    assert LN.read_lines(spark, [str(tmp_path / "none.log")]).count() == 0
+    big = tmp_path / "big.log"
+    big.write_text("".join(f"{i} {'x' * (i % 50)}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = LN.read_lines(spark, [str(big), str(tmp_path / "z.log")])
+        assert df.rdd.getNumPartitions() >= 4
+        assert [r.value.split(" ")[0] for r in df.where("_file like '%big.log'").orderBy("_line_num").collect()] == [str(i) for i in range(5000)]
+        assert df.agg(F.max("_line_num")).first()[0] == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_read_compressed(spark, tmp_path):
+    import gzip
+
+    import zstandard
+
+    text = "".join(f"line {i}\r\n" for i in range(25)) + "last\x0bpart"
+    (tmp_path / "a").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "b").write_bytes(zstandard.ZstdCompressor().compress(text.encode()))
+    (tmp_path / "c").write_bytes(text.encode())
+    rows = LN.read_compressed(spark, str(tmp_path), batch=7).collect()
+    for name in "abc":
+        own = sorted((r._line_num, r.value) for r in rows if r._file.endswith("/" + name))
+        assert own == [(i + 1, f"line {i}") for i in range(25)] + [(26, "last\x0bpart")]
+
+
+@pytest.mark.parametrize("seq", ["id", "id * 1000003 % 7919 * 1000000", "-id * id", "double(id) / 7"])
+def test_running_values_on_any_order(spark, seq):
+    """Dense, sparse, negative and fractional orders give the same sums, cut into many parts."""
+    df = spark.range(3000).selectExpr(f"{seq} as seq", "id", "if(id % 3 = 0, id, null) as v").dropDuplicates(["seq"])
+    rows = df.orderBy("seq").collect()
+    got = LN.running_sum(df, F.col("id"), "seq", "s", LN.parts(df, "seq", 100)).orderBy("seq").collect()
+    total = 0
+    for r, g in zip(rows, got):
+        total += r.id
+        assert g.s == total
+    last, want = None, []
+    for r in rows:
+        want.append(last)
+        last = r.v if r.v is not None else last
+    assert [r.p for r in SP.before_last(df, "seq", "p", F.col("v"), cut=LN.parts(df, "seq", 100)).orderBy("seq").collect()] == want
+
+
+def test_merge_sorted_refuses(spark):
+    good = frame(spark, [(i, dt.datetime(2024, 1, 1, 0, 0, i)) for i in range(3)], "_line long, ts timestamp")
+    bad = frame(spark, [(0, dt.datetime(2024, 1, 1, 0, 0, 9)), (1, dt.datetime(2024, 1, 1))], "_line long, ts timestamp")
+    assert [r._line for r in LN.merge_sorted([good, good], "ts", "_line").collect()] == [0, 0, 1, 1, 2, 2]
+    with pytest.raises(Exception, match="not sorted"):
+        LN.merge_sorted([good, bad], "ts", "_line").collect()
+    with pytest.raises(ValueError):
+        LN.merge_sorted([good, good.limit(0)], "ts", "_line")
+
+
+def test_state_api_and_streams(spark, sf_dir, tmp_path):
+    s = ST.State()
+    assert s["x"] is None and s.get("x", 5) == 5 and s.is_empty() and not s.contains("x")
+    s.set("x", 1)
+    s.fill_with({"x": 9, "y": 2})
+    s.mixin({"y": 3})
+    s += {"z": 4}
+    assert (s + {"w": 0}).to_map() == {"x": 1, "y": 3, "z": 4, "w": 0} and len(s) == 3 and list(s.keys()) == ["x", "y", "z"] and list(s.values()) == [1, 3, 4]
+    assert s.remove("x") == 1 and s.remove("x") is None
+    s.clear()
+    assert s.to_map() == {}
+
+    def count(state, event):
+        state.set("n", state.get("n", 0) + 1)
+        return {"user_id": event["user_id"], "n": state["n"]}
+
+    src = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    for k in (0, 1):
+        src.where(f"event_id % 2 = {k}").coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    src.limit(0).write.parquet(str(tmp_path / "in"))
+    for k in (0, 1):
+        for i, f in enumerate((tmp_path / f"in{k}").glob("*.parquet")):
+            f.rename(tmp_path / "in" / f"p{k}{i}.parquet")
+    stream = live.stateful(live.read_parquet_stream(spark, str(tmp_path / "in"), src.schema), "user_id", "event_id", count, "user_id long, n long")
+    most = {r.user_id: r.n for r in live.run_once(stream, "t_state").groupBy("user_id").agg(F.max("n").alias("n")).collect()}
+    assert most == {r.user_id: r["count"] for r in src.groupBy("user_id").count().collect()}
+    assert ST.stateful(src.limit(0), "event_id", count, "user_id long, n long", by=["user_id"]).count() == 0
+
+
+def test_reports(spark):
+    df = frame(spark, [(i, f"user {i} logged in from 10.0.0.{i}", "a" if i % 3 else "b") for i in range(6)], "_seq long, line string, kind string")
+    m = ME.Metrics(df).track("n", "inc").track("kinds", "freq", "kind")
+    assert m.text("json") == '{"kinds": {"a": 4, "b": 2}, "n": 6}' and m.text("short") == "kinds (2 entries):\n  a = 4\n  b = 2\nn = 6\n"
+    assert DR.report(df, "line") == "templates (1 items):\n  6  user <num> logged in from <ipv4>" and DR.report(df.limit(0), "line") == "No templates found"
+    assert "sample: user 0 logged in from 10.0.0.0" in DR.report(df, "line", "full", "_seq")
+    saved, defaults = load_config('[aliases]\nerrors = [["levels", [["error"]]]]\n[defaults]\nformat = json\n')
+    assert saved == {"errors": [["levels", [["error"]]]]} and defaults == {"format": "json"}
+    assert O.hide(df).count() == 0
+
+
+def test_includes(spark, tmp_path):
+    (tmp_path / "steps.json").write_text('[["filter", ["v > 2"]]]')
+    df = frame(spark, [(i, float(i)) for i in range(6)], "_seq long, v double")
+    out = run_spec(Events(df), [{"include": str(tmp_path / "steps.json")}, ["take", [2]]])
+    assert [r.v for r in out.df.orderBy("_seq").collect()] == [3.0, 4.0]
 
 
 def test_time_arguments():
