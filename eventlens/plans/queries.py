@@ -327,7 +327,7 @@ def discover_fields(spark, sf_dir):
     return ME.discover(events(spark, sf_dir), "props").select("path", "events", F.round("missing_pct", 4).alias("missing_pct"))
 
 
-@query("SELECT count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (ts IS NULL) AS without_ts FROM events")
+@query("SELECT count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (ts IS NULL) AS without_ts, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS span_seconds FROM events")
 def run_statistics(spark, sf_dir):
     return ME.run_stats(events(spark, sf_dir), "ts")
 
