@@ -1,6 +1,8 @@
 """Best-fit packing by exact complements, planned on the histogram of lengths.
 
-What fits together depends on lengths alone, and there are at most `size` of them. So the driver plans patterns of
+What fits together depends on lengths alone, and there are at most `size` of them: the array of counts by length is the
+index. A gap's exact complement of one length is a look-up in it, of two lengths a look-up for each first one, of three
+for each first two; no table of sums is built beside it. So the driver plans patterns of
 lengths with multiplicities from the histogram (at most `size` rows whatever the corpus), and each piece finds its place
 from its length and its rank among pieces of that length; no bin is looked for by row. Then the pieces' ids travel to
 their sequences, and write_sequences() writes one list of ids a sequence, with the pieces it is made of.
