@@ -38,7 +38,9 @@ def _after_name() -> str:
                     sep = before + sign + blank + quote
                     names = "|".join(f"(?<=(?:{'|'.join(x)}){sep})" for x in widths.values())
                     out.append(f"(?<={sep})(?:{names})")
-    return "(?:" + "|".join(out) + ")"
+    # few places follow a sign at all, which a handful of looks tells before the names are tried
+    near = "|".join(f"(?<={x})" for x in ("[:=>]", "[:=>][ \\t\"`\\x27]", "[:=>][ \\t][\"`\\x27]", r"[:=>]\\[\"\x27]", r"[:=>][ \t]\\[\"\x27]", "[Rr] "))
+    return f"(?:{near})(?:" + "|".join(out) + ")"
 
 
 _KEY = r"[A-Za-z0-9+/_\-]"
