@@ -23,6 +23,8 @@ from .common import forget, keep, new_path, table, task_id
 from .tokens import END_ID, encoder, in_small_batches, tokenizer_path
 
 SIZE = 4096
+#: Rows (task, length, offset; 20 bytes each) that are sent to all tasks at most.
+MOST_BROADCAST = 2_000_000
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -202,7 +204,7 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str | None = None, si
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = keep(rows.mapInArrow(_cut(tokenizer or tokenizer_path(), size, end_id), "doc_id long, piece int, start long, length long, ids binary, part int, rank long"), "pieces")
-    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    counts = keep(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     # at most `size` rows reach the driver
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     at = spark.sparkContext.broadcast(slots(plan(histogram, size)))
@@ -214,11 +216,12 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str | None = None, si
         i = np.searchsorted(s["key"], key, "right") - 1
         return pd.DataFrame({"sequence_id": s["sequence"][i] + key - s["key"][i], "offset": s["offset"][i]})
 
-    ranked = pieces.join(before, ["part", "length"])
+    # beyond a checked number of rows the pieces are shuffled to it instead
+    ranked = pieces.join(F.broadcast(before) if counts.count() <= MOST_BROADCAST else before, ["part", "length"])
     placed = ranked.withColumn("at", F.pandas_udf(place, "sequence_id long, offset long")("length", F.col("before") + F.col("rank")))
     moved = placed.select("at.sequence_id", "at.offset", "doc_id", "piece", "start", "length", "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
     moved.mapInArrow(_sequences, _SEQUENCE).write.option("compression", "zstd").parquet(path)
-    forget(pieces)
+    forget(pieces, counts)
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
