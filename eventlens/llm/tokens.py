@@ -33,8 +33,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 #: The runs of an ASCII chunk in lower case that the tokenizer merges each for itself.
 _RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^0-9a-z]+")
 #: An upper-case letter that may compose with what follows it. The tokenizer composes before it lowers, and some marks
-#: compose with one case only.
-_MARKED = re.compile(rb"[A-Z][\x80-\xff]")
+#: compose with one case only. Characters below U+0300 (first bytes under CC) are no marks and keep marks from it.
+_MARKED = re.compile(rb"[A-Z][\xcc-\xff]")
 #: Sentence signs, which often end a chunk.
 _SIGNS = ".,;:!?"
 
