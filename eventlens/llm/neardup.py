@@ -4,8 +4,9 @@ A document's set of word shingles is sketched by registers floor(1 - log_b x_i),
 its shingles: exponentially spaced truncated minima, mergeable by maximum. Documents with equal sets are one class from
 the start. Bands of registers give buckets; each bucket is first checked as a star around its smallest member, and only
 buckets that then still hold several components are compared inside, in blocks, by the joint likelihood of the register
-order counts. Every link is confirmed on full sets. With 32 bands of 4 registers a pair at the threshold of 0.8 shares
-no band with probability (1 - 0.8^4)^32 < 1e-7.
+order counts. Members of very large buckets meet by their rarest shingles instead, of which any two sets at the threshold
+share one, so none of their pairs is left out. Every link is confirmed on full sets. With 32 bands of 4 registers a pair
+at the threshold of 0.8 shares no band with probability (1 - 0.8^4)^32 < 1e-7.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from .common import WordHash, connected_components, forget, groups_of, keep, mix
 
 M, BANDS, ROWS = 128, 32, 4
 BASE, RATE, LEVELS = 1.001, 20.0, 65534
-#: Members of one block of a bucket; buckets of more than HOT members are told apart by a second band first.
+#: Members of one block of a bucket; members of buckets of more than HOT meet by their rarest shingles.
 BLOCK, HOT = 512, 4096
+#: Sets asked which shingles are common, and shingles held as such: they change how many sets meet, not which pairs are found.
+ASKED, COMMON = 1000, 20_000
 #: Bytes that a group's sets may take as bits; beyond it they are intersected as they are.
 MOST_BITS = 64 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -159,6 +162,49 @@ def _stars(batches):
         yield rows(held, True)
 
 
+def _rarest(percent: int, common: np.ndarray, count: np.ndarray):
+    """Rows (key, rep, comp) of each set's rarest shingles; common ones are given, sorted, with their counts.
+
+    Sets of at least percent / 100 similarity share percent / 100 of either's shingles at least. In one order of all
+    shingles the first that both have then stands among the first n - ceil(percent * n / 100) + 1 of each.
+    """
+
+    def run(batches):
+        for b in batches:
+            key = []
+            for s in b.column(2).to_numpy(zero_copy_only=False):
+                n = np.zeros(len(s), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    n = np.where(common[at] == s, count[at], 0)
+                key.append(s[np.lexsort((s, n))[: len(s) + percent * len(s) // -100 + 1]])
+            sizes = [len(x) for x in key]
+            rep, comp = (np.repeat(b.column(i).to_numpy(), sizes) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key) if key else np.zeros(0, np.int64)), pa.array(rep), pa.array(comp)], names=["key", "rep", "comp"])
+
+    return run
+
+
+def _by_rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, bi, bj, band, block, rep, comp): members (rep, comp) dealt into blocks by each of their rarest shingles.
+
+    The largest component of a key is compared with the rest of it and not with itself. Blocks are numbered below 0, so
+    no group is taken for one of a bucket.
+    """
+    members = keep(members.distinct(), "members")
+    own = sets.select(F.col("doc").alias("rep"), "s")
+    few = members.select("rep").distinct().orderBy(F.xxhash64("rep"), "rep").limit(ASKED)
+    common = own.join(few, "rep").select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").limit(COMMON).toArrow().sort_by("x")
+    rarest = _rarest(percent, *(common[c].to_numpy() for c in ("x", "n")))
+    met = keep(members.join(own, "rep").select("rep", "comp", "s").mapInArrow(rarest, "key long, rep long, comp long"), "large")
+    of = met.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("main")).where("size > main.m")
+    of = of.select("key", F.col("main.comp").alias("main"), F.ceil(F.expr("size - main.m") / BLOCK).alias("others"), F.ceil(F.col("main.m") / BLOCK).alias("mains"))
+    met = met.join(of, "key").withColumn("block", F.expr("if(comp = main, others + pmod(xxhash64(rep), mains), pmod(xxhash64(rep), others))"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, others - 1 + if(comp = main, 0, mains))")))
+    number = lambda x: (-1 - x).cast("int")
+    return met.select("key", number(F.least("block", "other")).alias("bi"), number(F.greatest("block", "other")).alias("bj"), F.lit(-1).alias("band"), number(F.col("block")).alias("block"), "rep", "comp")
+
+
 def _block_links(cutoff: float, percent: int):
     """Links between different components in each (key, bi, bj) group, as few as join what belongs together.
 
@@ -264,14 +310,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     several = lambda df: df.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key", "size")
     mixed = keep(several(inside), "mixed")
     rest = inside.join(mixed.where(F.col("size") <= HOT), "key").withColumn("band", F.expr(f"cast(key & {BANDS - 1} as int)"))
-    if mixed.where(F.col("size") > HOT).limit(1).count():
-        # similar texts share further bands, so members of a large bucket meet in pairs of bands: a fixed number of rows each
-        large = inside.join(mixed.where(F.col("size") > HOT).select("key"), "key").join(reps.select("rep", "sig"), "rep")
-        large = large.select("rep", "comp", "key", F.explode(F.pandas_udf(_band_keys, "array<long>")("sig")).alias("other")).where("other <> key")
-        large = keep(large.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "rep", "comp").distinct(), "large")
-        rest = rest.unionByName(large.join(several(large), "key").withColumn("band", F.lit(-1)))
     rest = rest.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), nb) as int)"))
     rest = rest.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "rep", "comp")
+    hot = mixed.where(F.col("size") > HOT).select("key")
+    if hot.limit(1).count():
+        rest = rest.unionByName(_by_rarest(inside.join(hot, "key").select("rep", "comp"), sets, percent))
     whole = reps.join(sets.select(F.col("doc").alias("rep"), "s"), "rep")
     rest = rest.join(whole, "rep").select("key", "bi", "bj", "band", "block", "rep", "comp", "n", "sig", "s")
     dealt = rest.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")

@@ -7,7 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from eventlens.llm import embeddup, linededup, neardup, quality, sampling, secrets, sharding, tokens, toxicity
@@ -77,6 +80,58 @@ def test_neardup_large_buckets(spark, monkeypatch, block, hot, bits):
     assert {r.doc: r.component for r in neardup.near_duplicates(df, k=4).collect()} == dict(enumerate(root))
 
 
+@pytest.mark.parametrize("block,common", [(512, 20_000), (3, 20_000), (3, 0)])
+def test_neardup_one_shared_band(spark, monkeypatch, block, common):
+    """All texts share one band and no second one: the large bucket keeps every pair, however few meet elsewhere."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HOT", 6)
+    monkeypatch.setattr(neardup, "COMMON", common, raising=False)
+
+    def keys(sig):
+        out = [np.array([xxhash.xxh3_64_intdigest(s, seed=b) for b in range(neardup.BANDS)], np.uint64).view(np.int64) & ~31 | np.arange(32) for s in sig]
+        for k in out:
+            k[0] = 64
+        return pd.Series(out)
+
+    keys.__annotations__ = {"sig": pd.Series, "return": pd.Series}
+    monkeypatch.setattr(neardup, "_band_keys", keys)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(3000)]
+    passage = list(rng.choice(words, 40))
+    texts = ["another text altogether, the smallest id"]
+    for i in range(30):
+        w = passage + list(rng.choice(words, 80))
+        for at in ([], [117], [3, 60, 90, 100, 119])[: 1 + i % 3]:
+            texts.append(" ".join("x" + str(i) if j in at else x for j, x in enumerate(w)))
+    sets = [{" ".join(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(set(root)) < len(texts) - 15
+    assert {r.doc: r.component for r in neardup.near_duplicates(df, k=4).collect()} == dict(enumerate(root))
+
+
+def test_rarest_shingles_meet():
+    """Of sets at the threshold, whatever is common, a rarest shingle is shared."""
+    rng = np.random.default_rng(7)
+    for size in (1, 2, 3, 5, 9, 10, 40, 333):
+        for _ in range(20):
+            pool = np.unique(rng.integers(-(1 << 62), 1 << 62, 2 * size))
+            a = np.sort(rng.permutation(pool)[:size])
+            gone = rng.integers(0, size // 5 + 1)  # the most that still leaves 0.8
+            b = np.sort(rng.permutation(a)[: size - gone])
+            assert 100 * len(b) >= 80 * len(a)
+            common = np.sort(rng.permutation(pool)[: rng.integers(0, len(pool))])
+            batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([0, 1]), pa.array([a, b], pa.list_(pa.int64()))], names=["rep", "comp", "s"])
+            out = next(neardup._rarest(80, common, rng.integers(2, 9, len(common)))([batch]))
+            key, rep = out.column(0).to_numpy(), out.column(1).to_numpy()
+            assert set(key[rep == 0]) & set(key[rep == 1])
+
+
 def test_registers_merge():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64)) for _ in range(2))
