@@ -555,3 +555,24 @@ def test_pipeline(spark, sf_dir):
     assert 0 < rows.select("doc_id").distinct().count() < docs.count()
     for _, stage in C.STAGES[1:4]:
         assert stage(spark, docs.limit(0), sf_dir).columns == docs.columns
+
+
+def test_pipeline_near_copies_of_one_bucket(spark, sf_dir, monkeypatch):
+    """Copies in a large bucket that share no second band with their texts go all the same."""
+    import corpus_pipeline as C
+
+    def keys(sig):
+        out = [np.array([xxhash.xxh3_64_intdigest(s, seed=b) for b in range(neardup.BANDS)], np.uint64).view(np.int64) & ~31 | np.arange(32) for s in sig]
+        for k in out:
+            k[0] = 64
+        return pd.Series(out)
+
+    keys.__annotations__ = {"sig": pd.Series, "return": pd.Series}
+    monkeypatch.setattr(neardup, "_band_keys", keys)
+    monkeypatch.setattr(neardup, "HOT", 10)
+    rows = [(0, "the smallest id, another text")]
+    for i in range(12):
+        w = [f"w{i}x{j}" for j in range(100)]
+        rows += [(2 * i + 1, " ".join(w)), (2 * i + 2, " ".join([*w[:50], "other", *w[51:]]))]  # 91 of 101 shingles shared
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in C.near_copies_out(spark, docs, sf_dir).collect()) == [0, *range(1, 25, 2)]
