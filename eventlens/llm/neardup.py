@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, connected_components, forget, groups_of, keep, mix, table
+from .common import WordHash, connected_components, forget, groups_of, keep, mix, table, tidy
 
 M, BANDS, ROWS = 128, 32, 4
 BASE, RATE, LEVELS = 1.001, 20.0, 65534
@@ -196,7 +196,7 @@ def _by_rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     few = members.select("rep").distinct().orderBy(F.xxhash64("rep"), "rep").limit(ASKED)
     common = own.join(few, "rep").select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").limit(COMMON).toArrow().sort_by("x")
     rarest = _rarest(percent, *(common[c].to_numpy() for c in ("x", "n")))
-    met = keep(members.join(own, "rep").select("rep", "comp", "s").mapInArrow(rarest, "key long, rep long, comp long"), "large")
+    met = keep(members.join(own, "rep").select("rep", "comp", "s").mapInArrow(tidy(rarest), "key long, rep long, comp long"), "large")
     of = met.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("main")).where("size > main.m")
     of = of.select("key", F.col("main.comp").alias("main"), F.ceil(F.expr("size - main.m") / BLOCK).alias("others"), F.ceil(F.col("main.m") / BLOCK).alias("mains"))
     met = met.join(of, "key").withColumn("block", F.expr("if(comp = main, others + pmod(xxhash64(rep), mains), pmod(xxhash64(rep), others))"))
@@ -205,6 +205,28 @@ def _by_rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("key", number(F.least("block", "other")).alias("bi"), number(F.greatest("block", "other")).alias("bj"), F.lit(-1).alias("band"), number(F.col("block")).alias("block"), "rep", "comp")
 
 
+def _as_bits(sets: list[np.ndarray], most: int, stretch: int = 1 << 18) -> list[int]:
+    """The sets as bits, one for each different member of any; none if they took more than most bytes.
+
+    Members are gathered from stretches of sets, so no more is held than sets of that width have.
+    """
+    known, waiting, size = np.zeros(0, np.int64), [], 0
+    for i, s in enumerate(sets):
+        waiting.append(s)
+        size += len(s)
+        if size >= stretch or i == len(sets) - 1:
+            known = np.unique(np.concatenate([known, *waiting]))
+            waiting, size = [], 0
+            if -(-len(known) // 8) * len(sets) > most:
+                return []
+    out = []
+    for s in sets:
+        row = np.zeros(-(-len(known) // 8) * 8, np.uint8)
+        row[np.searchsorted(known, s)] = 1
+        out.append(int.from_bytes(np.packbits(row).tobytes(), "big"))
+    return out
+
+
 def _block_links(cutoff: float, percent: int):
     """Links between different components in each (key, bi, bj) group, as few as join what belongs together.
 
@@ -232,17 +254,7 @@ def _block_links(cutoff: float, percent: int):
             order = np.argsort(-est, kind="stable")
             pairs = pairs[order[: int((est >= cutoff).sum())]]
             used = np.unique(pairs)
-            flat = np.concatenate([sets[i] for i in used]) if len(used) else np.zeros(0, np.int64)
-            number = np.unique(flat, return_inverse=True)[1]
-            ends = np.cumsum([len(sets[i]) for i in used])
-            bits = {}
-            width = -(-(int(number.max()) + 1) // 8) * 8 if len(number) else 0
-            if width // 8 * len(used) <= MOST_BITS:
-                for i, z in zip(used.tolist(), ends.tolist()):
-                    row = np.zeros(width, np.uint8)
-                    row[number[z - len(sets[i]) : z]] = 1
-                    bits[i] = int.from_bytes(np.packbits(row).tobytes(), "big")
-            del flat, number
+            bits = dict(zip(used.tolist(), _as_bits([sets[i] for i in used], MOST_BITS)))
             root = {c: c for c in comp.tolist()}
 
             def find(c):
@@ -287,13 +299,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cutoff = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / M)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sketched = keep(rows.mapInArrow(_sketches(k), "doc long, n long, f1 long, f2 long, sig binary"), "sketches")
+    sketched = keep(rows.mapInArrow(tidy(_sketches(k)), "doc long, n long, f1 long, f2 long, sig binary"), "sketches")
     classes = sketched.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = keep(classes, "classes")
     reps = classes.select("rep", "n", "sig")
     keyed = reps.select("rep", F.explode(F.pandas_udf(_band_keys, "array<long>")("sig")).alias("key")).select("key", "rep")
     ranged = keyed.repartitionByRange(parts, "key", "rep").sortWithinPartitions("key", "rep")
-    buckets = keep(ranged.mapInArrow(_stars, "key long, rep long, center long, edge boolean"), "buckets")
+    buckets = keep(ranged.mapInArrow(tidy(_stars), "key long, rep long, center long, edge boolean"), "buckets")
     # the parts of a bucket that spans ranges meet through the smallest of their centers
     heads = buckets.where("edge").select("key", "center").distinct()
     tops = heads.groupBy("key").agg(F.min("center").alias("a"))
@@ -302,7 +314,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pairs = keep(_filtered(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, cutoff, percent), "pairs")
     # full sets of the documents that have company in a bucket
     wanted = buckets.where("rep <> center").select(F.col("rep").alias("doc")).unionByName(buckets.where("rep <> center").select(F.col("center").alias("doc"))).unionByName(spans.select(F.col("a").alias("doc"))).unionByName(spans.select(F.col("b").alias("doc")))
-    sets = keep(rows.join(wanted.distinct(), "doc", "left_semi").dropDuplicates(["doc", "text"]).mapInArrow(_sets(k), "doc long, s array<long>"), "sets")
+    sets = keep(rows.join(wanted.distinct(), "doc", "left_semi").dropDuplicates(["doc", "text"]).mapInArrow(tidy(_sets(k)), "doc long, s array<long>"), "sets")
     links = keep(_verified(pairs, sets, percent), "links")
     comps = keep(connected_components(links), "comps")
     # buckets that still hold several components, and more than the two members of a checked pair
@@ -318,7 +330,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     whole = reps.join(sets.select(F.col("doc").alias("rep"), "s"), "rep")
     rest = rest.join(whole, "rep").select("key", "bi", "bj", "band", "block", "rep", "comp", "n", "sig", "s")
     dealt = rest.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    late = keep(dealt.mapInArrow(_block_links(cutoff, percent), "u long, v long"), "links")
+    late = keep(dealt.mapInArrow(tidy(_block_links(cutoff, percent)), "u long, v long"), "links")
     if late.limit(1).count():
         comps = keep(connected_components(links.unionByName(late)), "comps")
     forget(buckets, pairs, sets, late, links)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, keep, table
+from .common import forget, keep, table, tidy
 
 #: Each letter that a triple spans costs the factor DECAY; triples span SPAN letters at most (longer ones would weigh under a hundredth).
 DECAY, SPAN = 0.6, 9
@@ -268,7 +268,7 @@ def mine_landmarks(sample: DataFrame) -> list[str]:
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return []
-    found = keep(sample.select("text", "toxic").mapInArrow(_count, "s string, a long, b long").groupBy("s").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= 3), "strings")
+    found = keep(sample.select("text", "toxic").mapInArrow(tidy(_count), "s string, a long, b long").groupBy("s").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= 3), "strings")
     e1, e0 = F.expr(f"(a + b) * {n1 / (n1 + n0)!r}D"), F.expr(f"(a + b) * {n0 / (n1 + n0)!r}D")
     gain = F.when(F.col("a") / n1 > 3 * (F.col("b") + 0.5) / n0, F.col("a") * F.ln(F.col("a") / e1) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / e0)).otherwise(0.0))
     best = found.withColumn("g", gain).where("g >= 8").orderBy(F.desc("g"), F.desc(F.length("s")), "s").limit(CANDIDATES).collect()
@@ -349,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x = sim.pooled(b.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["toxic", "x"])
 
-        rows = sample.mapInArrow(features, "toxic int, x array<float>").toPandas()
+        rows = sample.mapInArrow(tidy(features), "toxic int, x array<float>").toPandas()
     finally:
         sample.unpersist()
     rows["key"] = rows["x"].map(lambda v: np.asarray(v, np.float32).tobytes())
@@ -372,8 +372,9 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "__t
 
     from collections.abc import Iterator
 
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(name, F.pandas_udf(run, "double")(text_col))
+    scored = tidy(run)
+    scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.withColumn(name, F.pandas_udf(scored, "double")(text_col))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -132,6 +133,23 @@ def test_rarest_shingles_meet():
             assert set(key[rep == 0]) & set(key[rep == 1])
 
 
+def test_long_sets_in_a_group():
+    """Sets of a group are told apart in less memory than they take once more."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(1 << 62), 1 << 62, 100_000)
+    sets = [np.unique(np.r_[base, rng.integers(-(1 << 62), 1 << 62, n)]) for n in [15_000] * 23 + [100]]
+    n, names = len(sets), ["key", "bi", "bj", "band", "block", "rep", "comp", "n", "sig", "s"]
+    zero, ids = pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n))
+    sig = pa.array([neardup.registers(s.view(np.uint64)).tobytes() for s in sets], pa.binary())
+    batch = pa.RecordBatch.from_arrays([zero, zero, zero, pa.array(np.full(n, -1)), zero, ids, ids, pa.array([len(s) for s in sets]), sig, pa.array(sets, pa.list_(pa.int64()))], names=names)
+    tracemalloc.start()
+    found = [(r["u"], r["v"]) for b in neardup._block_links(0.62, 80)([batch]) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 23  # all are one component
+    assert peak < 1.5 * sum(s.nbytes for s in sets)
+
+
 def test_registers_merge():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64)) for _ in range(2))
