@@ -6,13 +6,15 @@ don't end it. It is worked out exactly, for every word and every landmark, from
 squared, is the kernel of the machine. Landmarks are strings mined from labelled texts; a word's Nystroem map is its
 kernel values against them times the inverse square root of theirs among themselves, so products of maps approximate the
 kernel. A text is the maxima and the mean of its words' maps, and a squared-hinge machine with a fitted sigmoid gives
-the score. A word is mapped once a task and remembered; every word of every text counts, whole.
+the score. Words of the same letters are mapped once, and a task remembers those that come often; every word of every text
+counts, whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from itertools import combinations, islice
 
 import numpy as np
@@ -31,7 +33,7 @@ WIDTH = 24
 MOST_TOXIC, MOST_OTHER = 6000, 14_000
 #: Landmarks at most; one for each LABELS_PER_LANDMARK toxic rows, and at least LEAST_LANDMARKS. Strings considered for them.
 MOST_LANDMARKS, LEAST_LANDMARKS, LABELS_PER_LANDMARK, CLEAN_LANDMARKS, CANDIDATES = 60, 36, 8, 6, 1500
-#: Words a task remembers.
+#: Words a task remembers, told apart by their letters.
 REMEMBERED = 120_000
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 #: Three short words that begin with a letter in a row; words_of() looks closer.
@@ -74,6 +76,7 @@ def _by_length(words: list[str]):
         yield of, cp[start[of][:, None] + np.arange(length)]
 
 
+@lru_cache(maxsize=64)
 def _triples(length: int) -> tuple[np.ndarray, ...]:
     """Places i < j < k of the triples of a word, and their weights."""
     i, j, k = (np.array(x) for x in zip(*(t for t in combinations(range(length), 3) if t[2] - t[0] < SPAN)))
@@ -170,10 +173,14 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
 
 
 class _Rows(dict):
-    """Word -> its row, in order of first sight."""
+    """Word -> the row of its letters; of: letters -> row, in order of first sight."""
+
+    def __init__(self):
+        super().__init__()
+        self.of: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
+        n = self[word] = self.of.setdefault(letters(word), len(self.of))
         return n
 
 
@@ -188,11 +195,25 @@ class WordMap:
         self.forget()
 
     def forget(self) -> None:
-        self.row, self.z = _Rows(), np.zeros((1 << 12, self.m), np.float32)
+        self.row, self.z, self.seen = _Rows(), np.zeros((1 << 12, self.m), np.float32), np.zeros(1 << 12, np.int64)
+
+    def _age(self) -> None:
+        """Forgets the rarer words; those that came most often stay, half of REMEMBERED at most."""
+        n, half = len(self.row.of), REMEMBERED // 2
+        seen = self.seen[:n]
+        least = 2 if n <= half else max(2, int(np.partition(seen, n - half)[n - half]) + 1)
+        stay = np.flatnonzero(seen >= least)
+        names = list(self.row.of)
+        self.row = _Rows()
+        self.row.of = {names[i]: row for row, i in enumerate(stay.tolist())}
+        self.z[: len(stay)], self.seen[: len(stay)] = self.z[stay], seen[stay] // 2
+        self.seen[len(stay) :] = 0
 
     def maps(self, words: list[str]) -> np.ndarray:
         """z of each word; of a long word's windows the best value for each landmark counts."""
-        found = list(map(letters, words))
+        return self._maps(list(map(letters, words)))
+
+    def _maps(self, found: list[str]) -> np.ndarray:
         short = [x if len(x) <= WIDTH else "" for x in found]
         out = np.concatenate([against(short[a : a + 25_000], self.landmarks) for a in range(0, len(short), 25_000)] or [np.zeros((0, self.m), np.float32)])
         long = [i for i, x in enumerate(found) if len(x) > WIDTH]
@@ -217,15 +238,18 @@ class WordMap:
         return out
 
     def _pool(self, texts: list[str | None], out: np.ndarray) -> None:
-        if len(self.row) > REMEMBERED:
-            self.forget()
-        known = len(self.row)
+        if len(self.row.of) > REMEMBERED or len(self.row) > 2 * REMEMBERED:
+            self._age()
+        known = len(self.row.of)
         rows = [np.fromiter(map(self.row.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts)]
-        new = list(islice(self.row, known, None))
-        if len(self.row) > len(self.z):
-            self.z = np.concatenate([self.z, np.zeros((len(self.row) - len(self.z) + (1 << 15), self.m), np.float32)])
+        n = len(self.row.of)
+        new = list(islice(self.row.of, known, None))
+        if n > len(self.z):
+            more = n - len(self.z) + (1 << 15)
+            self.z, self.seen = np.concatenate([self.z, np.zeros((more, self.m), np.float32)]), np.concatenate([self.seen, np.zeros(more, np.int64)])
         for a in range(0, len(new), 25_000):
-            self.z[known + a : known + a + 25_000][: len(new) - a] = self.maps(new[a : a + 25_000])
+            self.z[known + a : known + a + 25_000][: len(new) - a] = self._maps(new[a : a + 25_000])
+        self.seen[:n] += np.bincount(np.concatenate(rows), minlength=n)
         for i, r in enumerate(rows):
             total = np.zeros(self.m)
             for a in range(0, len(r), 50_000):

@@ -450,6 +450,27 @@ def test_word_map_is_a_nystroem_map():
     assert (x[:2] == 0).all() and abs(x[2, 0] - x[3, 0]) < 0.05 and x[4, 0] < 0.2
 
 
+def test_words_are_remembered_by_letters(monkeypatch):
+    """Words of the same letters are mapped once, common ones stay when rarer ones are forgotten, and maps are as before."""
+    marks = ["^idiot", "^moron", "^worthless", "^window", "^report", "^garden"]
+    rng, common = np.random.default_rng(9), [f"{w}{e}" for w in ("idiot", "window", "gardener", "reported") for e in ("", ".", ",", "!", "\u2019s")]
+    texts = ["Window window, WINDOW. (window) w1ndow 12 34 x", *(" ".join([*common, *("".join(rng.choice(list("idotwn"), 8)) for _ in range(60)), str(i)]) for i in range(40))]
+    want = [toxicity.WordMap(marks).pooled([t])[0] for t in texts]
+    monkeypatch.setattr(toxicity, "REMEMBERED", 100)
+    m, mapped, counted = toxicity.WordMap(marks), [], toxicity.against
+
+    def against(words, landmarks):
+        mapped.extend(w for w in words if w)
+        return counted(words, landmarks)
+
+    monkeypatch.setattr(toxicity, "against", against)
+    got = np.stack([m.pooled([t])[0] for t in texts])
+    assert np.abs(got - np.stack(want)).max() < 1e-5
+    assert len(m.row.of) <= 200
+    assert max(Counter(mapped)[toxicity.letters(w)] for w in common) == 1 and Counter(mapped)["^"] == 1
+    assert (toxicity.WordMap(marks).pooled([None, ""]) == 0).all() and len(toxicity.WordMap(marks).pooled([])) == 0
+
+
 def test_toxicity_edges_with_a_model(spark):
     """Null, empty, long and repeated texts, and clashing names, before a model that was fitted."""
     clean = ["the report of the garden was long and good", "we saw the window and the house by the river", "nothing to say about the weather today my friend"]
