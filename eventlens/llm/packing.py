@@ -146,7 +146,7 @@ def _cut(path: str, size: int, end_id: int):
         enc, part, seen = encoder(path), task_id(), np.zeros(size + 1, np.int64)
         for b in in_small_batches(batches, 1):
             out = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
                 ids = np.append(ids, np.uint32(end_id))
                 for piece, start in enumerate(range(0, len(ids), size)):
                     x = ids[start : start + size]

@@ -7,10 +7,11 @@ range of documents is read by the pages that hold it.
 
 from __future__ import annotations
 
-import re
+import json
+import unicodedata
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,47 +31,186 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: The runs of an ASCII chunk in lower case that the tokenizer merges each for itself.
-_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^0-9a-z]+")
-#: An upper-case letter that may compose with what follows it. The tokenizer composes before it lowers, and some marks
-#: compose with one case only. Characters below U+0300 (first bytes under CC) are no marks and keep marks from it.
-_MARKED = re.compile(rb"[A-Z][\xcc-\xff]")
-#: Sentence signs, which often end a chunk.
-_SIGNS = ".,;:!?"
-
-
-def _byte_letters() -> dict[int, str]:
-    """How byte-level tokenizers write the UTF-8 bytes of each Latin letter: printable bytes as themselves, others above U+0100."""
+#: The settings that the encoder's short ways hold for.
+_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "ignore_merges": False}
+#: Runs of at most so many bytes are merged together; longer ones go to the library's merge model one by one.
+LONGEST_RUN = 32
+#: Runs that are merged together at most, so that their matrix is small.
+BLOCK = 1 << 13
+_NONE = np.int32(1 << 30)
+
+
+def _byte_letters() -> list[str]:
+    """How byte-level tokenizers write each byte: printable ones as themselves, others above U+0100."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
-    byte = {b: chr(b) if b in plain else None for b in range(256)}
-    for b in range(256):
-        if byte[b] is None:
-            byte[b] = chr(next(rest))
-    return {c: "".join(byte[x] for x in chr(c).encode()) for c in range(0x80, 0x250)}
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
 
+def _plain_letters() -> np.ndarray:
+    """Of each code point of two bytes, whether it is a Latin letter that stays or is one such letter in lower case."""
+    ok = np.zeros(1 << 11, bool)
+    for c in map(chr, range(0x80, 0x250)):
+        ok[ord(c)] = c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250" and all(unicodedata.normalize("NFC", x) == x for x in (c, c.lower()))
+    return ok
 
-class _Numbers(dict):
-    """Chunk -> its number; a new chunk gets the next one and is noted."""
 
-    def __init__(self):
-        self.new: list[bytes] = []
+_LETTERS = _byte_letters()
+_LATIN = _plain_letters()
+#: Bytes that a plain chunk never holds: ASCII without a print, and first bytes beyond two-byte characters.
+_ODD = np.array([b < 32 or b == 127 or b >= 0xE0 for b in range(256)])
+#: Kinds of bytes in lower case: blank, letter (all beyond ASCII), digit, sign.
+_BLANK, _LETTER, _DIGIT, _SIGN = range(4)
+_KIND = np.array([_BLANK if b == 32 else _LETTER if b >= 0x80 or 97 <= b <= 122 else _DIGIT if 48 <= b <= 57 else _SIGN for b in range(256)], np.uint8)
 
-    def __missing__(self, chunk: bytes) -> int:
-        n = self[chunk] = len(self)
-        self.new.append(chunk)
-        return n
+
+def _runs(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run that the tokenizer merges for itself, in plain chunks with blanks between them.
+
+    Its pattern: 's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+
+    """
+    kind = _KIND[u]
+    first = np.ones(len(u) + 3, bool)
+    first[1 : len(u)] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    at = np.flatnonzero((u == ord("'")) & first[: len(u)])
+    if len(at):
+        after = np.append(u, np.zeros(2, np.uint8))
+        x, y = after[at + 1], after[at + 2]
+        one = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+        two = ((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
+        first[at[one | two] + 1] = False
+        first[at[one] + 2] = first[at[two] + 3] = True
+    start = np.flatnonzero(first[: len(u)])
+    size = np.diff(np.append(start, len(u)))
+    words = kind[start] != _BLANK
+    return start[words], size[words]
+
+
+class _Merges:
+    """The merges of a byte-level BPE model, done for many runs at once: in each round every run does its first of least rank."""
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        pairs = {}
+        for rank, m in enumerate(model["merges"]):
+            x, y = m if isinstance(m, (list, tuple)) else m.split(" ")
+            pairs[vocab[x] << 16 | vocab[y]] = rank, vocab[x + y]
+        self.letter = np.array([vocab[c] for c in _LETTERS], np.int32)
+        self.last = np.array([vocab[c + "</w>"] for c in _LETTERS], np.int32)
+        self.pad = max(vocab.values()) + 1
+        if self.pad >= 0xFFFF:
+            raise KeyError("ids of more than two bytes")
+        self.made = np.zeros(len(model["merges"]) + 1, np.int32)
+        keys = np.fromiter(pairs, np.uint32, len(pairs))
+        ranks, made = (np.array(x, np.int32) for x in zip(*pairs.values()))
+        self.made[ranks] = made
+        # open addressing; no pair is 0xFFFFFFFF
+        self.bits = max(10, int(len(keys)).bit_length() + 2)
+        self.keys, self.ranks = np.full(1 << self.bits, 0xFFFFFFFF, np.uint32), np.full(1 << self.bits, _NONE, np.int32)
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] == 0xFFFFFFFF
+            self.keys[at[free]] = keys[free]
+            put = self.keys[at] == keys
+            self.ranks[at[put]] = ranks[put]
+            keys, ranks, at = keys[~put], ranks[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of pairs of ids; _NONE where they don't merge. One dimension."""
+        key = (x.astype(np.uint32) << np.uint32(16)) | y.astype(np.uint32)
+        at = self._place(key)
+        there = self.keys[at]
+        out = self.ranks[at]
+        open_ = np.flatnonzero(there != key)
+        out[open_] = _NONE
+        open_ = open_[there[open_] != 0xFFFFFFFF]
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at]
+            hit = there == key[open_]
+            out[open_[hit]] = self.ranks[at[hit]]
+            more = ~hit & (there != 0xFFFFFFFF)
+            open_, at = open_[more], at[more]
+        return out
+
+    def merge(self, u: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all runs in a row, number of ids of each run) of runs of at most LONGEST_RUN bytes."""
+        n_ids = np.zeros(len(start), np.int64)
+        parts = []
+        edges = [0, 1, 3, 5, 7, 9, 12, 16, 22, LONGEST_RUN]
+        for low, width in zip(edges, edges[1:]):
+            all_ = np.flatnonzero((size > low) & (size <= width))
+            for own in (all_[i : i + BLOCK] for i in range(0, len(all_), BLOCK)):
+                ids, n = self._matrix(u, start[own], size[own], width)
+                n_ids[own] = n
+                parts.append((own, ids, n))
+        ends = np.cumsum(n_ids)
+        flat = np.zeros(ends[-1] if len(ends) else 0, np.uint32)
+        for own, ids, n in parts:
+            flat[np.arange(len(ids)) + np.repeat(ends[own] - n - (np.cumsum(n) - n), n)] = ids
+        return flat, n_ids
+
+    def _matrix(self, u: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        cols = np.arange(width, dtype=np.int32)
+        at = np.minimum(start[:, None] + cols, len(u) - 1)
+        done = np.where(cols < size[:, None], self.letter[u[at]], np.int32(self.pad))
+        done[np.arange(len(size)), size - 1] = self.last[u[start + size - 1]]
+        if width > 1:
+            ids, rows = done.copy(), np.arange(len(size))
+            ranks = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(size), width - 1)
+            # every row left has merged in each round, so its last column is free
+            while ranks.shape[1] and len(rows):
+                j = ranks.argmin(1)
+                least = ranks[np.arange(len(rows)), j]
+                on = least < _NONE
+                if not on.all():
+                    off = ~on
+                    done[rows[off], : ids.shape[1]], done[rows[off], ids.shape[1] :] = ids[off], self.pad
+                    ids, ranks, rows, j, least = ids[on], ranks[on], rows[on], j[on], least[on]
+                    if not len(rows):
+                        break
+                w, r = ids.shape[1], np.arange(len(rows))
+                right = cols[: w - 1] > j[:, None]
+                new = self.made[least]
+                ids = np.where(right, ids[:, 1:], ids[:, :-1])
+                ids[r, j] = new
+                if w == 2:
+                    ranks = np.zeros((len(rows), 0), np.int32)
+                    break
+                ranks = np.where(cols[: w - 2] >= j[:, None], ranks[:, 1:], ranks[:, :-1])
+                l = np.flatnonzero(j > 0)
+                ranks[l, j[l] - 1] = self.rank(ids[l, j[l] - 1], new[l])
+                l = np.flatnonzero(j < w - 2)
+                ranks[l, j[l]] = self.rank(new[l], ids[l, j[l] + 1])
+            done[rows, : ids.shape[1]], done[rows, ids.shape[1] :] = ids, self.pad
+        there = done != self.pad
+        return done[there], there.sum(1)
 
 
 class Encoder:
     """encode(texts) gives each text's ids (uint32), the same as the library's for the whole text.
 
     The tokenizer of TOKENIZER drops white space before it merges, so a text's ids are those of its blank-separated
-    chunks in a row; chunks repeat, and the library sees each new one once. An ASCII chunk, or one of lower-case Latin
-    letters and then sentence signs, is left as it is by normalisation, so its runs go straight to the library's merge model; all others take
-    the whole way.
-    Texts with "<|" (special tokens) go to the library whole. When the cache holds most_chunks, the chunks that came
-    most often stay, half as many at most, so memory is bounded and common chunks aren't encoded anew.
+    chunks in a row; chunks repeat, and each new one is encoded once. A chunk of printable ASCII and Latin letters of two
+    bytes is only lowered by normalisation, so its runs are cut and merged here, those of all new chunks at once; all
+    other chunks go to the library.
+    Texts with "<|" (special tokens) and tokenizers of other settings go to the library whole. When the cache holds
+    most_chunks, the chunks that came most often stay, half as many at most, so memory is bounded and common chunks
+    aren't encoded anew.
     """
 
     def __init__(self, path: str, most_chunks: int = 600_000):
@@ -78,13 +218,18 @@ class Encoder:
 
         self.lib, self.most = Tokenizer.from_file(path), most_chunks
         self.lib.no_truncation()
-        state = self.lib.to_str()
-        self.by_chunk = '"Replace","pattern":{"Regex":"\\\\s+"}' in state and '"behavior":"Removed","invert":true' in state and '"Lowercase"' in state and '"ByteLevel"' in state
-        self.model, self.latin = self.lib.model, _byte_letters()
+        self.model, self.merges = self.lib.model, None
+        state = json.loads(self.lib.to_str())
+        special = all("<|" in t["content"] for t in state["added_tokens"])
+        if special and all(state[k] == v for k, v in _SETTINGS.items()) and all(state["model"].get(k) == v for k, v in _MODEL.items()):
+            try:
+                self.merges = _Merges(state["model"])
+            except KeyError:  # letters or merges that the vocabulary lacks
+                pass
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
@@ -96,9 +241,7 @@ class Encoder:
         stay = np.flatnonzero(seen >= least)
         old, start, size, flat, seen = list(self.numbers), self.start[stay], self.size[stay], self.flat, seen[stay]
         self.clear()
-        for i in stay.tolist():
-            self.numbers[old[i]]
-        self.numbers.new.clear()
+        self.numbers = {old[i]: k for k, i in enumerate(stay.tolist())}
         ends = np.cumsum(size)
         self.used = int(ends[-1]) if len(ends) else 0
         self._room(len(stay), self.used)
@@ -111,62 +254,89 @@ class Encoder:
         while chunks > len(self.start):
             self.start, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.seen))
 
-    def _chunks(self, text: bytes) -> list[bytes]:
-        return text.split() if _MARKED.search(text) else text.lower().split()
-
-    def _word(self, chunk: bytes) -> list[int]:
-        if chunk.isascii():
-            chunk = chunk.lower()
-        if not chunk.isalpha():
-            w = chunk.decode()
-            if chunk.isascii() and w.isprintable():
-                return [t.id for run in _RUNS.findall(w) for t in self.model.tokenize(run)]
-            letters = w.rstrip(_SIGNS)
-            if not (letters.isalpha() and letters == letters.lower() and max(letters) < "\u0250"):
-                return self.lib.encode(w, add_special_tokens=False).ids
-            ids = [t.id for t in self.model.tokenize(letters.translate(self.latin))]
-            return ids if letters == w else ids + [t.id for t in self.model.tokenize(w[len(letters) :])]
-        return [t.id for t in self.model.tokenize(chunk.decode())]
-
-    def _learn(self) -> None:
-        new = self.numbers.new
-        if not new:
-            return
-        first, n = len(self.numbers) - len(new), len(self.numbers)
-        words = list(map(self._word, new))
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        total = int(size.sum())
-        self._room(n, self.used + total)
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(words), np.uint32, total)
-        self.start[first:n], self.size[first:n] = self.used + np.cumsum(size) - size, size
-        self.used += total
-        new.clear()
-
-    def encode(self, texts: list[str | bytes]) -> list[np.ndarray]:
+    def _plain(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all plain chunks in a row, number of ids of each)."""
+        u = np.frombuffer(b" ".join(chunks).decode().lower().encode(), np.uint8)
+        start, size = _runs(u)
+        chunk = np.searchsorted(np.flatnonzero(u == 32), start)
+        long = np.flatnonzero(size > LONGEST_RUN)
+        size_here = size.copy()
+        size_here[long] = 0
+        flat, n = self.merges.merge(u, start, size_here)
+        if len(long):
+            ids = [[t.id for t in self.model.tokenize("".join(_LETTERS[b] for b in u[i : i + k].tolist()))] for i, k in zip(start[long].tolist(), size[long].tolist())]
+            flat = np.insert(flat, np.repeat(np.cumsum(n)[long], list(map(len, ids))), list(chain.from_iterable(ids)))
+            n[long] = list(map(len, ids))
+        return flat, np.bincount(chunk, n, len(chunks)).astype(np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Gives new chunks the next numbers and their ids."""
+        first, n = len(self.numbers), len(self.numbers) + len(new)
+        self.numbers.update(zip(new, range(first, n)))
+        u = np.frombuffer(b" ".join(new), np.uint8)
+        odd = _ODD[u]
+        two = np.flatnonzero((u >= 0xC0) & (u < 0xE0))
+        odd[two] = ~_LATIN[(u[two].astype(np.int64) & 31) << 6 | u[np.minimum(two + 1, len(u) - 1)] & 63]
+        plain = np.ones(len(new), bool)
+        plain[np.searchsorted(np.flatnonzero(u == 32), np.flatnonzero(odd))] = False
+        flat, size = self._plain([new[i] for i in np.flatnonzero(plain).tolist()])
+        others = np.flatnonzero(~plain)
+        words = [self.lib.encode(new[i].decode(), add_special_tokens=False).ids for i in others.tolist()]
+        order = np.concatenate([np.flatnonzero(plain), others]) + first
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(words), np.uint32)])
+        size = np.concatenate([size, np.fromiter(map(len, words), np.int64)])
+        self._room(n, self.used + len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[order], self.size[order] = self.used + np.cumsum(size) - size, size
+        self.used += len(flat)
+
+    def encode(self, texts: pa.Array | list[str | bytes]) -> list[np.ndarray]:
+        """Of strings, or an Arrow array of them, in which null is empty."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([t.encode() if isinstance(t, str) else t for t in texts], pa.binary())
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return []
+        if not self.merges:
+            return [self._whole(t) for t in texts]
         if len(self.numbers) > self.most:
             self._age()
-        get = self.numbers.__getitem__
-        keys: list[np.ndarray | None] = []
-        for text in texts:
-            raw = text.encode() if isinstance(text, str) else text
-            if self.by_chunk and b"<|" not in raw:
-                chunks = self._chunks(raw)
-                keys.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
-            else:
-                keys.append(None)
-        self._learn()
-        out = []
-        for text, k in zip(texts, keys):
-            if k is None:
-                whole = text if isinstance(text, str) else text.decode()
-                out.append(np.array(self.lib.encode(whole, add_special_tokens=False).ids, np.uint32))
-                continue
-            np.add.at(self.seen, k, 1)
-            start, size = self.start[k], self.size[k]
-            ends = np.cumsum(size)
-            where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
-            out.append(self.flat[where])
-        return out
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        u = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+        def holds(places: np.ndarray) -> np.ndarray:
+            """Which texts a place of u lies in."""
+            out = np.zeros(len(texts), bool)
+            out[np.searchsorted(ends[1:] - ends[0], places, "right")] = True
+            return out
+
+        whole = holds(np.flatnonzero((u[:-1] == ord("<")) & (u[1:] == ord("|"))))
+        # An upper-case letter that may compose with what follows it. The tokenizer composes before it lowers, and some
+        # marks compose with one case only. Characters below U+0300 (first bytes under CC) are no marks and keep marks from it.
+        marked = holds(np.flatnonzero((u[:-1] - np.uint8(65) < 26) & (u[1:] >= 0xCC)))
+        lower = pc.ascii_lower(texts)
+        if marked.any():
+            lower = pc.if_else(pa.array(marked), texts, lower)
+        if whole.any():
+            lower = pc.if_else(pa.array(whole), "", lower)
+        chunks = pc.ascii_split_whitespace(lower)
+        coded = chunks.values.dictionary_encode()
+        own = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.binary()))
+        distinct = pc.binary_join(own, b" ")[0].as_py().split(b" ")
+        number = np.fromiter(map(self.numbers.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(new := np.flatnonzero(number < 0)):
+            number[new] = np.arange(len(new)) + len(self.numbers)
+            self._learn([distinct[i] for i in new.tolist()])
+        self.seen[number] += np.bincount(coded.indices.to_numpy(), minlength=len(distinct))
+        size = self.size[number]
+        to = np.append(0, np.cumsum(size))
+        ids = self.flat[np.arange(to[-1]) + np.repeat(self.start[number] - to[:-1], size)]
+        lists = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids)).take(coded.indices)
+        flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()[chunks.offsets.to_numpy()]
+        return [self._whole(texts[i]) if w else flat[a:b] for i, (w, a, b) in enumerate(zip(whole.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))]
+
+    def _whole(self, text: pa.Scalar) -> np.ndarray:
+        return np.array(self.lib.encode(text.as_py(), add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -189,7 +359,7 @@ def _encode_rows(path: str, end_id: int):
     def run(batches):
         enc, part, start = encoder(path), task_id(), 0
         for b in in_small_batches(batches, 1):
-            ids = [np.append(x, np.uint32(end_id)) for x in enc.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])]
+            ids = [np.append(x, np.uint32(end_id)) for x in enc.encode(b.column(1))]
             n = np.array([len(x) for x in ids], np.int64)
             ends = np.cumsum(n)
             flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))

@@ -1,11 +1,14 @@
+import json
 import string
 import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer, normalizers
 
 from eventlens.llm import packing, tokens
 from eventlens.llm.queries import QUERIES
@@ -51,6 +54,53 @@ def test_encoder_random_documents(parts):
     assert enc.encode([text])[0].tolist() == enc.lib.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_merges_new_chunks_at_once(lib):
+    """Plain chunks of a batch don't go to the library one by one, and their ids are the library's."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("eeetaoinshrdlucmfwypvbgkjqxzéñüßçÉÄØſªđ.,#%!0123456789" + "'" * 3))
+    chunks = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 24, 20_000)]
+    chunks += ["it's", "'tis", "x''s", "!'s'", "we'll've", "'r", "'", "a'lx", "9's9", "'dé", "Ée'RE", "ee" * 16, "th" * 15 + "e'm"]
+    texts = [" ".join(chunks[i : i + 50]) for i in range(0, len(chunks), 50)]
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    enc.lib = enc.model = None
+    assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_pair_ranks(lib):
+    """Pairs asked alone and all at once, most of which don't merge."""
+    model = json.loads(lib.to_str())["model"]
+    merges, vocab = tokens._Merges(model), model["vocab"]
+    pairs = [tuple(vocab[t] for t in (m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    want = {p: r for r, p in enumerate(pairs)}
+    rng = np.random.default_rng(1)
+    asked = pairs + [tuple(p) for p in rng.integers(0, len(vocab) + 1, (50_000, 2)).tolist()]
+    x, y = (np.array(c, np.int32) for c in zip(*asked))
+    expected = [want.get(p, int(tokens._NONE)) for p in asked]
+    assert merges.rank(x, y).tolist() == expected
+    for k in (1, 2, 3):
+        assert all(merges.rank(x[i : i + k], y[i : i + k]).tolist() == expected[i : i + k] for i in range(0, len(asked) - k, 37))
+
+
+def test_encoder_long_runs_slices_and_age(lib):
+    texts = [None, "", " \t ", "a" * 33 + " b" * 3, "x" * 32, "é" * 17 + "'s", "zz <|endoftext|> qq", "Y̊ é", "\x1c1 的 tail", "new words ", None, "#" * 40 + "9" * 40]
+    texts = texts * 3 + [f"w{i}q{i * 7} Text{i}" for i in range(300)]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    enc = tokens.Encoder(tokens.tokenizer_path(), most_chunks=40)
+    column = pa.array(["before", *texts, "after"])
+    for size in (1, 7, 100):
+        assert [x.tolist() for i in range(0, len(texts), size) for x in enc.encode(column.slice(1 + i, min(size, len(texts) - i)))] == want
+    assert len(enc.numbers) < 400
+
+
+def test_encoder_of_another_tokenizer(tmp_path):
+    """Texts go to the library whole where the settings are not those that the short ways hold for."""
+    other = Tokenizer.from_file(tokens.tokenizer_path())
+    other.normalizer = normalizers.NFC()
+    other.save(str(tmp_path / "t.json"))
+    texts = ["Some Words, it's É", "", "UPPER lower"]
+    assert [x.tolist() for x in tokens.Encoder(str(tmp_path / "t.json")).encode(texts)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_op6_brute(spark, sf_dir, lib):
     docs = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     want, at = [], 0
