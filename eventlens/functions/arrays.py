@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import _c, _stepped, indices, slice_spec
+from .strings import _c, _stepped, indices, once, slice_spec
 
 
 def _number(x: Column) -> Column:
@@ -100,8 +100,8 @@ def mean(a) -> Column:
 
 def variance(a) -> Column:
     """Population variance."""
-    m = mean(a)
-    return F.when(_all_numbers(a), F.aggregate(F.transform(as_nums(a), lambda x: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x) / F.size(as_nums(a)))
+    squares = once(mean(a), lambda m: F.aggregate(F.transform(as_nums(a), lambda x: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x))
+    return F.when(_all_numbers(a), squares / F.size(as_nums(a)))
 
 
 def stddev(a) -> Column:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import _c
+from .strings import _c, once
 
 
 def clamp(v, low, high) -> Column:
@@ -22,6 +22,13 @@ def mod(a, b) -> Column:
     return F.when(a.isNull() | b.isNull(), None).otherwise(F.coalesce(F.try_mod(a, b), a * 0))
 
 
+def round_(v, digits: int = 0) -> Column:
+    """Half away from zero by the arithmetic of doubles, as SQL engines round: a negative number that rounds to zero is -0.0, of which Spark's round makes 0.0."""
+    unit = 10.0**digits
+    one = lambda x: F.when(F.abs(x * unit) < float("inf"), F.signum(x) * F.abs(F.round(x * unit)) / unit).otherwise(x)
+    return once(_c(v).cast("double"), one)
+
+
 def _digits(v, thousands: str | None, decimal: str | None = None) -> Column:
     s = _c(v).cast("string")
     if thousands:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.mathx import round_
 from ..functions.strings import _c
 
 
@@ -217,7 +218,7 @@ def discover(df: DataFrame, json_col: str, depth: int = 3, most: int = 500) -> D
     events = found.groupBy("path").agg(F.count_distinct("e").alias("events"))
     kinds = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in KINDS]), F.array(*[F.col(f"__{k}") for k in KINDS])), lambda _, c: c > 0)
     distinct = F.when(F.col("exact") <= 256, F.col("exact")).otherwise(F.col("about")).alias("distinct")
-    out = per.join(events, "path").select("path", "events", F.round(100 * (1 - F.col("events") / n), 4).alias("missing_pct"), "types", kinds.alias("kinds"), distinct, "samples", "least", "greatest", "min_size", "max_size")
+    out = per.join(events, "path").select("path", "events", round_(100 * (1 - F.col("events") / n), 4).alias("missing_pct"), "types", kinds.alias("kinds"), distinct, "samples", "least", "greatest", "min_size", "max_size")
     return out.orderBy(F.desc("events"), "path").limit(most)
 
 

@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def hourly_purchases(spark, sf_dir):
     """Filter, tumbling span of one hour, aggregate."""
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    spans = e.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("users"))
+    spans = e.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), MX.round_(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("users"))
     return spans.select(F.col("w.start").alias("span_start"), "n", "total", "users")
 
 
@@ -116,7 +116,7 @@ def parse_json_lines(spark, sf_dir):
 def parse_logfmt_lines(spark, sf_dir):
     line = F.concat(F.lit("user="), F.col("user_id").cast("string"), F.lit(' type="'), F.col("event_type"), F.lit('" value='), F.format_string("%.9f", F.col("value")))
     r = P.logfmt(line, {"user": "int", "type": "string", "value": "float"})
-    return events(spark, sf_dir).select("event_id", r.alias("r")).select("event_id", F.col("r.user").alias("user_id"), F.col("r.type").alias("event_type"), F.round("r.value", 6).alias("value"))
+    return events(spark, sf_dir).select("event_id", r.alias("r")).select("event_id", F.col("r.user").alias("user_id"), F.col("r.type").alias("event_type"), MX.round_("r.value", 6).alias("value"))
 
 
 @query("SELECT c_custkey, c_name || ', \"x\"' AS name, c_nationkey AS nation, c_mktsegment AS segment FROM customer")
@@ -256,7 +256,7 @@ def sample_every(spark, sf_dir):
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def window_values(spark, sf_dir):
     w = EV.window_values(events(spark, sf_dir), "event_id", 3, ["value"], by=["user_id"])
-    return w.select("event_id", F.round(F.get("window", F.lit(0))["value"], 6).alias("current"), F.round(F.get("window", F.lit(1))["value"], 6).alias("before"), F.round(A.mean(A.pluck_as_nums("window", "value")), 6).alias("mean"))
+    return w.select("event_id", MX.round_(F.get("window", F.lit(0))["value"], 6).alias("current"), MX.round_(F.get("window", F.lit(1))["value"], 6).alias("before"), MX.round_(A.mean(A.pluck_as_nums("window", "value")), 6).alias("mean"))
 
 
 @query("""WITH g AS (SELECT event_id, abs(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id))) AS d FROM events)
@@ -275,7 +275,7 @@ def freq_table(spark, sf_dir):
 
 @query("SELECT event_type, count(*) FILTER (value > 50) AS big, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 def track_scalars(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("event_type").agg(ME.inc(F.col("value") > 50).alias("big"), F.round(ME.total("value"), 4).alias("total"), F.round(ME.average("value"), 6).alias("mean"), ME.least("value").alias("least"), ME.most("value").alias("most"))
+    return events(spark, sf_dir).groupBy("event_type").agg(ME.inc(F.col("value") > 50).alias("big"), MX.round_(ME.total("value"), 4).alias("total"), MX.round_(ME.average("value"), 6).alias("mean"), ME.least("value").alias("least"), ME.most("value").alias("most"))
 
 
 @query("SELECT user_id AS value, min(event_id) AS first_seen FROM events GROUP BY 1")
@@ -314,7 +314,7 @@ def track_bottom_by(spark, sf_dir):
 round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1""")
 def describe(spark, sf_dir):
     d = events(spark, sf_dir).groupBy("event_type").agg(*ME.stats("value", exact=True))
-    return d.select("event_type", "min", "max", F.round("avg", 6).alias("avg"), "count", F.round("sum", 4).alias("sum"), *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
+    return d.select("event_type", "min", "max", MX.round_("avg", 6).alias("avg"), "count", MX.round_("sum", 4).alias("sum"), *[MX.round_(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
 @query("SELECT 'n' AS metric, NULL AS key, CAST(count(*) AS DOUBLE) AS value FROM events UNION ALL SELECT 'kinds', event_type, CAST(count(*) AS DOUBLE) FROM events GROUP BY 2")
@@ -324,7 +324,7 @@ def metrics_table(spark, sf_dir):
 
 @query("SELECT 'k' AS path, count(*) AS events, round(0.0, 4) AS missing_pct FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def discover_fields(spark, sf_dir):
-    return ME.discover(events(spark, sf_dir), "props").select("path", "events", F.round("missing_pct", 4).alias("missing_pct"))
+    return ME.discover(events(spark, sf_dir), "props").select("path", "events", MX.round_("missing_pct", 4).alias("missing_pct"))
 
 
 @query("SELECT count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (ts IS NULL) AS without_ts, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS span_seconds FROM events")
@@ -450,7 +450,7 @@ def encoding_and_network(spark, sf_dir):
 round(list_min(embedding::DOUBLE[]), 6) AS lo, round(list_max(embedding::DOUBLE[]), 6) AS hi, round(list_aggregate(embedding::DOUBLE[], 'quantile_cont', 0.9), 6) AS p90 FROM embeddings""")
 def array_functions(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    r = lambda c, n: F.round(c, 6).alias(n)
+    r = lambda c, n: MX.round_(c, 6).alias(n)
     return v.select("vec_id", r(A.sum_("a"), "s"), r(A.mean("a"), "m"), r(A.variance("a"), "v"), r(A.min_("a"), "lo"), r(A.max_("a"), "hi"), r(A.percentile("a", 90), "p90"))
 
 

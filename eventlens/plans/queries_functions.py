@@ -204,7 +204,7 @@ def array_higher_order(spark, sf_dir):
     """stddev, map, reduce, all, some, push, pop, contains, pluck_as_nums of mixed items."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     items = F.array(F.struct(F.get("a", 0).cast("string").alias("x")), F.struct(F.lit("no number").alias("x")), F.struct(F.get("a", 1).cast("string").alias("x")))
-    return v.select("vec_id", F.round(A.stddev("a"), 6).alias("sd"), F.slice(A.map_("a", lambda x: F.round(x * 2, 4)), 1, 3).alias("doubled"), F.round(A.reduce_("a", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), A.all_("a", lambda x: x < 100).alias("every"), A.some("a", lambda x: x > 0.5).alias("some"), F.size(A.push("a", F.lit(1.0))).cast("long").alias("pushed"), F.size(A.pop("a")).cast("long").alias("popped"), A.contains("a", F.get("a", 2)).alias("has"), F.round(A.sum_(A.pluck_as_nums(items, "x")), 6).alias("mixed"))
+    return v.select("vec_id", MX.round_(A.stddev("a"), 6).alias("sd"), F.slice(A.map_("a", lambda x: MX.round_(x * 2, 4)), 1, 3).alias("doubled"), MX.round_(A.reduce_("a", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), A.all_("a", lambda x: x < 100).alias("every"), A.some("a", lambda x: x > 0.5).alias("some"), F.size(A.push("a", F.lit(1.0))).cast("long").alias("pushed"), F.size(A.pop("a")).cast("long").alias("popped"), A.contains("a", F.get("a", 2)).alias("has"), MX.round_(A.sum_(A.pluck_as_nums(items, "x")), 6).alias("mixed"))
 
 
 @query("""SELECT event_id, CAST(user_id AS VARCHAR) AS deep, 'x' AS item, 4 AS n, event_type AS und, '{"a":{"b":"' || event_type || '","c":["x","' || user_id || '"]}}' AS nested, '{"u":' || user_id || '}' AS shallow FROM events""")
@@ -264,7 +264,7 @@ def number_forms(spark, sf_dir):
     """to_float with separators, the _or forms, type_of, get_env, rand and rand_int in range, mathematics."""
     e = events(spark, sf_dir)
     r = MX.rand_int(3, 5, 1)
-    return e.select("event_id", MX.to_float(F.lit("1,234.5"), ",").alias("f"), MX.to_float(F.lit("1.234.567,25"), ".", ",").alias("de"), MX.to_int_or(F.col("user_id").cast("string"), 7).alias("io"), MX.to_int_or(F.lit("x"), 7).cast("int").alias("idef"), MX.to_float_or(F.lit("1.2.3"), 2.5).alias("fdef"), MX.to_bool_or(F.lit("maybe"), True).alias("bdef"), MX.type_of("user_id").alias("ty"), MX.get_env("EVENTLENS_NO_SUCH", "dflt").alias("env"), r.between(3, 5).alias("in_range"), ((MX.rand(2) >= 0) & (MX.rand(3) < 1)).alias("in_unit"), MX.abs_(F.col("user_id") - 50).alias("ab"), MX.floor("value").alias("fl"), MX.ceiling("value").alias("ce"), F.round(MX.sqrt("user_id"), 6).alias("sq"), F.round(MX.sin("user_id"), 6).alias("si"), F.round(MX.log(F.col("user_id") + 1), 6).alias("lo"), MX.mod(F.lit(7), 0).alias("mz"), MX.mod(F.lit(-7), 3).alias("mn"))
+    return e.select("event_id", MX.to_float(F.lit("1,234.5"), ",").alias("f"), MX.to_float(F.lit("1.234.567,25"), ".", ",").alias("de"), MX.to_int_or(F.col("user_id").cast("string"), 7).alias("io"), MX.to_int_or(F.lit("x"), 7).cast("int").alias("idef"), MX.to_float_or(F.lit("1.2.3"), 2.5).alias("fdef"), MX.to_bool_or(F.lit("maybe"), True).alias("bdef"), MX.type_of("user_id").alias("ty"), MX.get_env("EVENTLENS_NO_SUCH", "dflt").alias("env"), r.between(3, 5).alias("in_range"), ((MX.rand(2) >= 0) & (MX.rand(3) < 1)).alias("in_unit"), MX.abs_(F.col("user_id") - 50).alias("ab"), MX.floor("value").alias("fl"), MX.ceiling("value").alias("ce"), MX.round_(MX.sqrt("user_id"), 6).alias("sq"), MX.round_(MX.sin("user_id"), 6).alias("si"), MX.round_(MX.log(F.col("user_id") + 1), 6).alias("lo"), MX.mod(F.lit(7), 0).alias("mz"), MX.mod(F.lit(-7), 3).alias("mn"))
 
 
 @query("SELECT count(*) AS n, true AS near, true AS whole_keys FROM events")
@@ -338,7 +338,7 @@ FROM events WINDOW w AS (ORDER BY event_id)""")
 def window_of_stream(spark, sf_dir):
     """The last rows of the whole stream."""
     w = EV.window_values(events(spark, sf_dir), "event_id", 3, ["value"])
-    return w.select("event_id", F.round(F.get("window", F.lit(0))["value"], 6).alias("current"), F.round(F.get("window", F.lit(2))["value"], 6).alias("before"), F.round(A.mean(A.pluck_as_nums("window", "value")), 6).alias("mean"))
+    return w.select("event_id", MX.round_(F.get("window", F.lit(0))["value"], 6).alias("current"), MX.round_(F.get("window", F.lit(2))["value"], 6).alias("before"), MX.round_(A.mean(A.pluck_as_nums("window", "value")), 6).alias("mean"))
 
 
 @query("""WITH g AS (SELECT event_id, abs(epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY event_id))) AS d FROM events)
@@ -452,7 +452,7 @@ def user_scalars(spark, sf_dir):
 def user_aggregate(spark, sf_dir):
     """An aggregate of a user: the spread of values, from partial states."""
     how = U.Aggregate(lambda: None, lambda s, v: (min(s[0], v), max(s[1], v)) if s else (v, v), lambda a, b: a if b is None else b if a is None else (min(a[0], b[0]), max(a[1], b[1])), lambda s: None if s is None else s[1] - s[0], "double")
-    return U.aggregate(events(spark, sf_dir).select("event_type", "value"), ["event_type"], "value", how, "spread").select("event_type", F.round("spread", 6).alias("spread"))
+    return U.aggregate(events(spark, sf_dir).select("event_type", "value"), ["event_type"], "value", how, "spread").select("event_type", MX.round_("spread", 6).alias("spread"))
 
 
 @query("SELECT 'events=' || count(*) || ' kinds=' || count(DISTINCT event_type) || ' click=' || count(*) FILTER (event_type = 'click') AS line FROM events")

@@ -75,3 +75,22 @@ def test_datetimes(of):
 def test_numbers(of):
     assert of(MX.to_int(L("1,234"), ","), MX.to_int(L(" 12 ")), MX.to_float(L("1.5")), MX.to_bool(L("yes")), MX.to_bool(L("maybe")), MX.to_int_or(L("x"), 7)) [0::2] == [1234, 1.5, None]
     assert of(MX.clamp(L(5), 1, 3), MX.status_class(L(404)), MX.status_class(L(99))) == [3, "4xx", "unknown"]
+
+
+def test_rounding_keeps_the_sign_of_zero(spark, of, tmp_path):
+    import duckdb
+
+    from eventlens.plans.queries import ORACLE_SQL, QUERIES
+
+    values = [-0.00001, 0.00001, -0.0, 1.005, -2.5, 0.285, 1e306, float("inf"), float("nan"), None]
+    want = [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 2)", [v]).fetchone()[0] for v in values]
+    assert repr(of(*[MX.round_(F.lit(v), 2) for v in values])) == repr(want)
+
+    rows = [(1, [-0.00001, 0.6, 0.00001]), (2, [0.25, -1e-7, -0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = con.execute(ORACLE_SQL["array_higher_order"] + " ORDER BY vec_id")
+    names = [d[0] for d in found.description]
+    got = QUERIES["array_higher_order"](spark, str(tmp_path)).orderBy("vec_id").select(*names).collect()
+    assert repr([tuple(r) for r in got]) == repr(found.fetchall())
