@@ -56,6 +56,14 @@ def cardinality_sketch(v, lg_k: int = 14) -> Column:
     return F.hll_sketch_agg(_c(v).cast("string"), lg_k)
 
 
+def with_distinct(df: DataFrame, field: str, *aggregates: Column) -> DataFrame:
+    """One row of the aggregates and exact, the number of different values; each side is an aggregation of its own.
+
+    In a single agg(), Catalyst groups by the counted value first and keeps a buffer of every other aggregate for each value: a whole sketch a value.
+    """
+    return df.agg(*aggregates).crossJoin(F.broadcast(df.agg(F.countDistinct(field).alias("exact"))))
+
+
 def _check(n: int) -> None:
     if n < 1:
         raise ValueError("n must be 1 or more")

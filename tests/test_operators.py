@@ -205,3 +205,12 @@ def test_streams(spark, sf_dir, tmp_path):
     changes = live.field_spans(live.read_parquet_stream(spark, str(tmp_path / "in"), src.schema), "user_id", "event_type", "event_id")
     rows = live.run_once(changes, "t_changes").collect()
     assert rows and all(r["size"] >= 1 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["cardinality_against_exact"])
+def test_one_sketch_for_the_whole_stream(spark, sf_dir, name):
+    from eventlens.plans.queries import QUERIES
+
+    physical = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    kept = [line for line in physical.splitlines() if "Aggregate(keys=[user_id" in line]
+    assert kept and not any("approx_count_distinct" in line for line in kept)
