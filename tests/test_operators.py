@@ -207,7 +207,7 @@ def test_streams(spark, sf_dir, tmp_path):
     assert rows and all(r["size"] >= 1 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["cardinality_against_exact"])
+@pytest.mark.parametrize("name", ["track_cardinality", "cardinality_against_exact"])
 def test_one_sketch_for_the_whole_stream(spark, sf_dir, name):
     from eventlens.plans.queries import QUERIES
 
