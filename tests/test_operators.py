@@ -214,3 +214,14 @@ def test_one_sketch_for_the_whole_stream(spark, sf_dir, name):
     physical = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     kept = [line for line in physical.splitlines() if "Aggregate(keys=[user_id" in line]
     assert kept and not any("approx_count_distinct" in line for line in kept)
+
+
+def test_cef_runs_its_pattern_once(spark):
+    lines = [
+        r"Sep 19 host CEF:0|v\|w|p\\q|1.0|100|worm|10|src=10.0.0.1 note=a\=b src=::1 bare", "CEF:0|||||||", "CEF:0|v|p|1|2|3", "x CEF:1|a\uf8f1b|\uf8f1|c|d|e|f|k=\uf8f1 l=", "CEF:0|a\uf8f1|b", "", None,
+    ]
+    df = frame(spark, list(enumerate(lines)), "seq long, line string").select("seq", P.cef("line").alias("r")).orderBy("seq")
+    assert [r.r and (*r.r[:7], r.r.extension) for r in df.collect()] == [
+        ("0", "v|w", "p\\q", "1.0", "100", "worm", "10", {"src": "::1", "note": "a=b"}), ("0", *[""] * 6, {}), None, ("1", "a\uf8f1b", "\uf8f1", "c", "d", "e", "f", {"k": "\uf8f1", "l": ""}), None, None, None,
+    ]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("CEF:(") <= 10  # one replacement, and one match and eight extractions for lines with the mark
