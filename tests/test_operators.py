@@ -225,3 +225,19 @@ def test_cef_runs_its_pattern_once(spark):
         ("0", "v|w", "p\\q", "1.0", "100", "worm", "10", {"src": "::1", "note": "a=b"}), ("0", *[""] * 6, {}), None, ("1", "a\uf8f1b", "\uf8f1", "c", "d", "e", "f", {"k": "\uf8f1", "l": ""}), None, None, None,
     ]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("CEF:(") <= 10  # one replacement, and one match and eight extractions for lines with the mark
+
+
+def test_syslog_runs_its_patterns_once(spark):
+    mark = "\uf8f1"
+    lines = [
+        '<165>1 2003-10-11T22:14:15.003Z h app 7 ID1 [ex@1 iut="3" e="a\\"]b"] one two', "<0>1 - - - - - -", "<192>1 - h a - - - m", f"<34>1 - h{mark} a x - - m{mark}{mark}",
+        "<34>Oct 11 22:14:15 h su[12]: it failed", "2024-01-02T03:04:05Z h su: ", f"Oct  1 22:14:15 {mark} su: a{mark}", "<200>Oct 11 22:14:15 h su: m", "", None,
+    ]
+    df = frame(spark, list(enumerate(lines)), "seq long, line string").select("seq", P.syslog("line").alias("r")).orderBy("seq")
+    assert [r.r and tuple(r.r) for r in df.collect()] == [
+        (165, 20, 5, "notice", 1, "2003-10-11T22:14:15.003Z", "h", "app", 7, "ID1", "one two"), (0, 0, 0, "emerg", 1, None, None, None, None, None, ""), None,
+        (34, 4, 2, "crit", 1, None, f"h{mark}", "a", None, None, f"m{mark}{mark}"), (34, 4, 2, "crit", None, "Oct 11 22:14:15", "h", "su", 12, None, "it failed"),
+        (None, None, None, None, None, "2024-01-02T03:04:05Z", "h", "su", None, None, ""), (None, None, None, None, None, "Oct  1 22:14:15", mark, "su", None, None, f"a{mark}"), None, None, None,
+    ]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<(") <= 20  # for each form one replacement, and a match and an extraction a group for lines with the mark
